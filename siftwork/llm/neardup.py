@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = members.join(load, "family").select("cls", "family", mine.alias("i"), other.alias("j"))
     placed = placed.select("cls", F.xxhash64("family", F.least("i", "j"), F.greatest("i", "j")).alias("task"))
-    work = placed.join(texts, "cls").select("task", "cls", "text").repartition("task").sortWithinPartitions("task")
+    # merged at every size: a small table would be broadcast and hide how the exchange of texts grows
+    work = placed.hint("merge").join(texts, "cls").select("task", "cls", "text").repartition("task").sortWithinPartitions("task")
     links = components(_resolve(work, shingle_words, percent))
 
     resolved = classes.join(links.withColumnRenamed("node", "cls"), "cls", "left").select("set_key", F.coalesce("component", "cls").alias("component_id"))
