@@ -1 +1 @@
-"""Functions of the curation engine."""
+"""Column functions: text, numbers, colours and bit hashes. All are JVM-side expressions."""
