@@ -90,6 +90,12 @@ def chroma(p: Column) -> Column:
 def name(r: Column, g: Column, b: Column) -> Column:
     """Descriptive name of a colour from its hue, lightness and saturation."""
     hue, light, sat = hls(r, g, b)
+    # bound once by the lambda: the tree below uses each many times
+    parts = F.struct(hue.alias("h"), light.alias("l"), sat.alias("s"), F.greatest(r, g, b).alias("top"))
+    return F.get(F.transform(F.array(parts), lambda x: _named(x["h"], x["l"], x["s"], x["top"])), 0)
+
+
+def _named(hue: Column, light: Column, sat: Column, top: Column) -> Column:
 
     def by(x: Column, *steps: tuple[float, str], last: str) -> Column:
         out = F.lit(last)
@@ -118,7 +124,7 @@ def name(r: Column, g: Column, b: Column) -> Column:
         .otherwise(by(light, (0.42, "暗玫红"), last="玫瑰粉"))
     )
     shaded = F.when(light > 0.78, F.concat(F.lit("浅"), base)).when((light < 0.18) & ~F.substring(base, 1, 1).isin("深", "暗"), F.concat(F.lit("深"), base)).otherwise(base)
-    return F.when(F.greatest(r, g, b) <= 22, "墨黑").when(sat < 0.10, grey).otherwise(shaded)
+    return F.when(top <= 22, "墨黑").when(sat < 0.10, grey).otherwise(shaded)
 
 
 def hue_targets(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +50,9 @@ def numbered(df: DataFrame, partition: list[str], order: list[Column], name: str
     counted = ranged.withColumn("_local", F.row_number().over(local))
     sizes = counted.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    on = [counted["_part"].eqNullSafe(sizes["_part"])] + [counted[c].eqNullSafe(sizes[c]) for c in partition]
-    return counted.join(sizes, on).select(*[counted[c] for c in df.columns], (counted["_local"] + sizes["_before"]).alias(name))
+    sizes = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), *[F.col(c).alias(f"_key{i}") for i, c in enumerate(partition)])
+    on = (F.col("_part") == F.col("_p")) & reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(partition)], F.lit(True))
+    return counted.join(sizes, on).select(*df.columns, (F.col("_local") + F.col("_before")).alias(name))
 
 
 def asset_ids(files: DataFrame, name: str = "name", path: str = "path") -> DataFrame:

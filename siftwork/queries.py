@@ -288,10 +288,10 @@ def _pixels(spark, d):
 
 _PIX = "SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, least(floor(l_quantity * 5), 255)::INTEGER AS r, least(round(l_discount * 100) * 25, 255)::INTEGER AS g, least(round(l_tax * 100) * 31, 255)::INTEGER AS b FROM lineitem"
 _DIST = f"SELECT DISTINCT r, g, b FROM ({_PIX})"
-_HLS = f"""SELECT r, g, b, CASE WHEN hi = lo THEN 0 ELSE (CASE WHEN turn < 0 THEN turn + 6 ELSE turn END) * 60 END AS hue, (hi + lo) / 2.0 AS light,
+_HLS = f"""SELECT r, g, b, CASE WHEN hi = lo THEN 0 ELSE (turn / 6 - floor(turn / 6)) * 360 END AS hue, (hi + lo) / 2.0 AS light,
   CASE WHEN hi = lo THEN 0 WHEN (hi + lo) / 2.0 <= 0.5 THEN (hi - lo) / (hi + lo) ELSE (hi - lo) / (2 - hi - lo) END AS sat
-FROM (SELECT *, CASE WHEN x = hi THEN (y - z) / nullif(hi - lo, 0) WHEN y = hi THEN 2 + (z - x) / nullif(hi - lo, 0) ELSE 4 + (x - y) / nullif(hi - lo, 0) END AS turn
-  FROM (SELECT *, greatest(x, y, z) AS hi, least(x, y, z) AS lo FROM (SELECT r, g, b, r / 255.0 AS x, g / 255.0 AS y, b / 255.0 AS z FROM ({_DIST}))))"""
+FROM (SELECT *, CASE WHEN x = hi THEN (hi - z) / s - (hi - y) / s WHEN y = hi THEN 2 + (hi - x) / s - (hi - z) / s ELSE 4 + (hi - y) / s - (hi - x) / s END AS turn
+  FROM (SELECT *, nullif(hi - lo, 0) AS s FROM (SELECT *, greatest(x, y, z) AS hi, least(x, y, z) AS lo FROM (SELECT r, g, b, r / 255.0 AS x, g / 255.0 AS y, b / 255.0 AS z FROM ({_DIST})))))"""
 
 
 def _colors(spark, d):
