@@ -118,8 +118,8 @@ def _beside(low: np.ndarray, high: np.ndarray, start: np.ndarray, owner: np.ndar
     return new_low, new_high
 
 
-def _groups(docs: np.ndarray, first: np.ndarray, hashes: np.ndarray, size: int, buckets: int, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, payload) of a chunk; docs: the row's id, not negative; and windows a smaller document of the chunk holds, in bucket -1."""
+def _groups(docs: np.ndarray, first: np.ndarray, hashes: np.ndarray, size: int, buckets: int, parts: int, homes: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, payload) of a chunk; docs: the row's key, not negative. Places that a smaller document of the chunk repeats go to bucket -1 - home."""
     at, value, anchor, key = windows(hashes, first, size)
     if not len(at):
         return
@@ -133,7 +133,8 @@ def _groups(docs: np.ndarray, first: np.ndarray, hashes: np.ndarray, size: int,
     least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
     gone = order[d > least]
     if len(gone):
-        yield -1, _positions(doc[gone], position[gone])
+        for home, payload in _by_home(doc[gone], position[gone], homes):
+            yield -1 - home, payload
         send = np.ones(len(at), bool)
         send[gone] = False
         at, value, anchor, key, doc, position = (x[send] for x in (at, value, anchor, key, doc, position))
@@ -175,25 +176,31 @@ def _read(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return np.repeat(name, length), value, np.repeat(offset.astype(np.int64) + base, length), np.repeat(position.astype(np.int64), length) + step
 
 
-def _positions(doc: np.ndarray, position: np.ndarray) -> bytes:
-    return struct.pack("<i", len(doc)) + doc.astype(np.int64).tobytes() + position.astype(np.uint32).tobytes()
+def _by_home(doc: np.ndarray, position: np.ndarray, homes: int) -> Iterator[tuple[int, bytes]]:
+    """(home, payload) of the places (document, first word), one row for each home."""
+    home = doc % homes
+    order = np.argsort(home, kind="stable")
+    cut = np.r_[0, np.flatnonzero(np.diff(home[order])) + 1, len(order)]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        mine = order[a:b]
+        yield int(home[mine[0]]), struct.pack("<i", len(mine)) + doc[mine].astype("<i8").tobytes() + position[mine].astype("<u4").tobytes()
+
+
+def _places(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    (n,) = struct.unpack_from("<i", payload)
+    return np.frombuffer(payload, "<i8", n, 4), np.frombuffer(payload, "<u4", n, 4 + 8 * n)
 
 
-def _by_document(doc: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(doc, kind="stable")
-    doc, position = doc[order], position[order].astype("<u4")
-    cut = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(doc)]
-    rows = [position[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(doc[cut[:-1]]), pa.array(rows, pa.binary())], ["key", "places"])
+def _rows(found: list[tuple[int, bytes]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names)
 
 
-def repeated_windows(keyed: DataFrame, window: int, parts: int) -> DataFrame:
-    """(key, places): first words of windows that also start in a smaller document; a document may have several rows.
+def repeated_windows(keyed: DataFrame, window: int, parts: int, buckets: int, homes: int) -> DataFrame:
+    """(home, places): first words of windows that also start in a smaller document, for all documents of a home; a home has several rows.
 
-    ``keyed`` has key (a long, document number * parts + part) and text.
+    ``keyed`` has key (a long, document number * parts + part) and text; a
+    document's home is its key modulo ``homes``.
     """
-    size = keyed.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    buckets = max(1, int(-(-size // BUCKET_CHARS)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -201,8 +208,8 @@ def repeated_windows(keyed: DataFrame, window: int, parts: int) -> DataFrame:
                 part = whole.slice(low, high - low)
                 data, offsets = K.text_buffer(part.column(1))
                 _, hashes, first = K.words(data, offsets, K.SPACE)
-                found = list(_groups(part.column(0).to_numpy(), first, hashes, window, buckets, parts))
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["bucket", "payload"])
+                found = list(_groups(part.column(0).to_numpy(), first, hashes, window, buckets, parts, homes))
+                yield _rows(found, ["bucket", "payload"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -222,14 +229,13 @@ def repeated_windows(keyed: DataFrame, window: int, parts: int) -> DataFrame:
             least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
             gone = order[d > least]
             if len(gone):
-                yield _by_document(doc[gone], position[gone])
+                yield _rows(list(_by_home(doc[gone], position[gone], homes)), ["home", "places"])
 
         for batch in batches:
             for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 payload = payload.as_py()
                 if bucket < 0:  # found by the sender
-                    (n,) = struct.unpack_from("<i", payload)
-                    yield _by_document(np.frombuffer(payload, np.int64, n, 4), np.frombuffer(payload, np.uint32, n, 4 + 8 * n))
+                    yield _rows([(-1 - bucket, payload)], ["home", "places"])
                     continue
                 if bucket != current:
                     yield from done()
@@ -238,9 +244,9 @@ def repeated_windows(keyed: DataFrame, window: int, parts: int) -> DataFrame:
         yield from done()
 
     sent = keyed.select("key", "text").mapInArrow(send, "bucket bigint, payload binary")
-    # bucket -1 is spread: its rows need no partner
+    # rows of negative buckets need no partner: they are spread
     spread = F.when(F.col("bucket") < 0, F.xxhash64("payload")).otherwise(F.col("bucket"))
-    return sent.repartition(buckets, spread).sortWithinPartitions("bucket").mapInArrow(receive, "key bigint, places binary")
+    return sent.repartition(buckets, spread).sortWithinPartitions("bucket").mapInArrow(receive, "home bigint, places binary")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_spacing: bool = False) -> DataFrame:
@@ -267,44 +273,51 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         number = number + F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(F.col(f"`{text_col}`"))) - 1
     struct_ = F.struct(*[F.col(f"`{c}`") for c in names if c != text_col])
     keyed = rows.select(number.alias("key"), F.col(f"`{text_col}`").alias("text"), struct_.alias("rest"))
-    places = repeated_windows(keyed.filter("key is not null and text is not null"), window, parts)
+    size = keyed.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    buckets = max(1, int(-(-size // BUCKET_CHARS)))
+    homes = next(n for n in range(buckets | 1, 1 << 62, 2) if all(n % p for p in range(3, int(n**0.5) + 1, 2)))  # a prime: even for keys in steps
+    places = repeated_windows(keyed.filter("key is not null and text is not null"), window, parts, buckets, homes)
     rest_type = keyed.schema["rest"].dataType
-    empty = F.lit(None).cast(rest_type)
-    tagged = keyed.select("key", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("places"), "text", "rest").unionByName(
-        places.select("key", F.lit(0).alias("kind"), "places", F.lit(None).cast("string").alias("text"), empty.alias("rest"))
+    # rows with a null key have no places: they are spread by text
+    home = F.pmod(F.coalesce(F.col("key"), F.xxhash64("text")), F.lit(homes).cast("long"))
+    tagged = keyed.select(home.alias("home"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("places"), "key", "text", "rest").unionByName(
+        places.select("home", F.lit(0).alias("kind"), "places", F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(rest_type).alias("rest"))
     )
-    # rows with a null key are alone: spread them
-    home = F.coalesce(F.col("key"), F.xxhash64("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, gone = None, []
+        current, held = None, []
+        docs = at = None
         for batch in batches:
-            keys, kinds, places, texts = (batch.column(i) for i in range(4))
+            homes_, kinds, places, keys, texts = (batch.column(i) for i in range(5))
             keep, out, counts, removed = [], [], [], []
-            for i, (key, kind) in enumerate(zip(keys.to_pylist(), kinds.to_pylist(), strict=True)):
-                if key != current or key is None:
-                    current, gone = key, []
-                if kind == 0:
-                    gone.append(places[i].as_py())
+            for i, (home, kind, key) in enumerate(zip(homes_.to_pylist(), kinds.to_pylist(), keys.to_pylist(), strict=True)):
+                if home != current:
+                    current, held, docs = home, [], None
+                if kind == 0:  # all places of a home come before its texts
+                    held.append(_places(places[i].as_py()))
                     continue
-                text = texts[i].as_py()
+                if docs is None:
+                    docs, at = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+                    order = np.argsort(docs, kind="stable")
+                    docs, at, held = docs[order], at[order], []
+                gone = at[:0] if key is None else at[np.searchsorted(docs, key) : np.searchsorted(docs, key, "right")]
+                text, n, r = _cut(texts[i].as_py(), gone, window, keep_spacing)
                 keep.append(i)
-                text, n, r = _cut(text, gone, window, keep_spacing)
                 out.append(text)
                 counts.append(n)
                 removed.append(r)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(4).take(pa.array(keep, pa.int64())), pa.array(out, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["rest", "text", "n_words", "n_removed"]
+                [batch.column(5).take(pa.array(keep, pa.int64())), pa.array(out, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["rest", "text", "n_words", "n_removed"]
             )
 
-    ordered = tagged.repartition(home).sortWithinPartitions("key", "kind")
+    ordered = tagged.repartition("home").sortWithinPartitions("home", "kind", "key")
     schema = T.StructType([T.StructField("rest", rest_type), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     done = ordered.mapInArrow(cut, schema)
     columns = [F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in names]
     return done.select(*columns, "n_words", "n_removed")
 
 
-def _cut(text: str | None, gone: list[bytes], window: int, keep_spacing: bool) -> tuple[str | None, int, int]:
+def _cut(text: str | None, gone: np.ndarray, window: int, keep_spacing: bool) -> tuple[str | None, int, int]:
     if text is None:
         return None, 0, 0
     raw = text.encode()
@@ -315,10 +328,10 @@ def _cut(text: str | None, gone: list[bytes], window: int, keep_spacing: bool) -
     else:
         parts = raw.split()
         n = len(parts)
-    if not gone:
+    if not len(gone):
         return (text if keep_spacing else b" ".join(parts).decode()), n, 0
     change = np.zeros(n + window + 1, np.int64)
-    at = np.concatenate([np.frombuffer(x, "<u4") for x in gone])
+    at = gone.astype(np.int64)
     np.add.at(change, at, 1)
     np.add.at(change, at + window, -1)
     kept = np.flatnonzero(np.cumsum(change)[:n] == 0)
