@@ -21,8 +21,9 @@ PIECE = 1 << 20
 
 
 def separator_table(separators: bytes, lower: bool) -> np.ndarray:
-    """Byte -> byte for words: 0 for a separator, A-Z folded where ``lower``; other bytes stay."""
+    """Byte -> byte for words: 0 for a separator, A-Z folded where ``lower``; other bytes stay (NUL becomes 255, which is in no UTF-8)."""
     table = np.arange(256, dtype=np.uint8)
+    table[0] = 255
     if lower:
         table[65:91] += 32
     table[list(separators)] = 0
