@@ -30,6 +30,8 @@ BYTE_LEVEL = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(x for
 ODD = "\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
 #: Chunks with other than common Latin characters (or a leading mark) take the library's whole path.
 UNUSUAL = re.compile("[^\x00\x01\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]")
+#: Pre-tokens kept.
+PARTS = 400_000
 #: Longer chunks are not kept.
 LONGEST = 64
 
@@ -60,13 +62,16 @@ class Encoder:
         assert sys.byteorder == "little"
         self.end = np.array([end_id], self.dtype).tobytes()
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # pre-tokens, which new chunks often share
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of new chunks: the library's pre-tokens of Latin chunks go to its BPE model, other chunks through all of it."""
-        found, rest = {}, []
+        found, rest, parts = {}, [], self.parts
+        if len(parts) > PARTS:
+            parts.clear()
         code = "H" if self.dtype.itemsize == 2 else "I"
         model, split, lower = self.tokenizer.model.tokenize, self.split.findall, self.drops_space
         for c in chunks:
@@ -77,7 +82,13 @@ class Encoder:
                 tokens = [c.lower()] if c.isalpha() else split(c.lower())
             else:
                 tokens = split(self._plain(c))
-            found[c] = array(code, [t.id for x in tokens for t in model(x.encode().decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
+            ids = []
+            for x in tokens:
+                known = parts.get(x)
+                if known is None:
+                    known = parts[x] = array(code, [t.id for t in model(x.encode().decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
+                ids.append(known)
+            found[c] = ids[0] if len(ids) == 1 else b"".join(ids)
         found.update(zip(rest, self._encode([c if lower else self._plain(c) for c in rest]), strict=True))
         return found
 
