@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from siftwork.functions import text as T
 from siftwork.operators import quality as Q
 from siftwork.plans import rules as R
+from siftwork.session import stored
 
 REPORT = "分析/验收报告.json"
 FILES = "path string, width int, height int, mode string, format string"
 REF = "参考素材/"
+#: Rules that run as one query.
+GROUP = 22
 
 
 def shape(v: Column, path: str) -> Column:
@@ -205,11 +208,26 @@ def _expand(sql: str) -> str:
     return re.sub(r"\b(blank|normal|portable)\(([^()]+)\)", lambda m: _CALLS[m[1]](m[2]), sql)
 
 
+def materialised(tables_: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables written once, so that each rule reads a small table and parses no document again."""
+    return {n: df if n in ("one", "files", "texts") else stored(df, f"rules-{n}") for n, df in tables_.items()}
+
+
 def findings(tables_: dict[str, DataFrame], least_images: int = 8, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """(rule, severity, subject): one row per violation of any rule."""
+    """(rule, severity, subject): one row per violation of any rule.
+
+    With all rules the tables are written first, and rules run in groups, which
+    keeps plans small.
+    """
     spark = tables_["one"].sparkSession
+    if rules is None:
+        tables_, done = materialised(tables_), None
+        for low in range(0, len(R.RULES), GROUP):
+            part = stored(findings(tables_, least_images, R.RULES[low : low + GROUP]), "findings")
+            done = part if done is None else done.unionByName(part)
+        return done
     out = None
-    for rule, severity, sql in rules or R.RULES:
+    for rule, severity, sql in rules:
         used = {n: tables_[n] for n in set(re.findall(r"\{(\w+)\}", sql)) if n in tables_}
         body = re.sub(r"\{(\d[\d,]*)\}", r"{{\1}}", _expand(sql).replace("{least}", str(least_images)))
         found = spark.sql(body, **used).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col("subject"))
