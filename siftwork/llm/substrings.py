@@ -33,7 +33,7 @@ WINDOW = 13
 #: Words parsed at a time.
 BLOCK = 1 << 17
 #: Bytes of text that a task groups at a time, and characters of the corpus for each receiver.
-CHUNK, BUCKET_CHARS = 12 << 20, 12_000_000
+CHUNK, BUCKET_CHARS = 4 << 20, 6_000_000
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -17,8 +17,8 @@ from array import array
 import numpy as np
 import regex
 
-#: Chunks that a worker keeps; beyond it the memo starts anew (memory bound of about 100 MB).
-MEMO = 800_000
+#: Chunks that a worker keeps; beyond it the memo starts anew (memory bound of about 80 MB).
+MEMO = 400_000
 #: Texts whose new chunks are encoded together.
 GROUP = 64
 # The pre-token patterns of the two tokenizer kinds and the byte-level alphabet.
@@ -31,7 +31,7 @@ ODD = "\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f
 #: Chunks with other than common Latin characters (or a leading mark) take the library's whole path.
 UNUSUAL = re.compile("[^\x00\x01\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]")
 #: Pre-tokens kept.
-PARTS = 400_000
+PARTS = 150_000
 #: Longer chunks are not kept.
 LONGEST = 64
 
