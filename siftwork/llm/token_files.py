@@ -32,9 +32,12 @@ FILE_CHARS = 24_000_000
 
 
 def _open(uri: str):
+    """File system and path of a folder: a local path, or a URI (file:/x counts as file:///x)."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") and not uri.startswith("file:") else uri.replace("file:", "file://", 1) if uri.startswith("file:/") else uri)
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
 
 
 class _Writer:
