@@ -38,9 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path for an intermediate table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this process, once no result that reads them is needed; returns how many."""
+    conf, n = spark._jsc.hadoopConfiguration(), 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
