@@ -219,7 +219,7 @@ WITH RECURSIVE m AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id
 f AS (
   SELECT user_id, 1 AS i, t AS last, true AS taken FROM m WHERE i = 1
   UNION ALL SELECT m.user_id, m.i, CASE WHEN m.t - f.last >= 6 THEN m.t ELSE f.last END, m.t - f.last >= 6 FROM f JOIN m ON m.user_id = f.user_id AND m.i = f.i + 1)
-SELECT user_id, last AS t, row_number() OVER (PARTITION BY user_id ORDER BY i) AS sequence FROM f WHERE taken
+SELECT user_id, last AS t, row_number() OVER (PARTITION BY user_id ORDER BY i)::INTEGER AS sequence FROM f WHERE taken
 """
 
 
