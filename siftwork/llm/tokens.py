@@ -17,8 +17,8 @@ from array import array
 import numpy as np
 import regex
 
-#: Chunks that a worker keeps; beyond it the memo starts anew (memory bound of about 80 MB).
-MEMO = 400_000
+#: Chunks in each of the two generations that a worker keeps (some 100 MB). What is met again moves on to the younger one.
+MEMO = 300_000
 #: Texts whose new chunks are encoded together.
 GROUP = 64
 # The pre-token patterns of the two tokenizer kinds and the byte-level alphabet.
@@ -62,6 +62,7 @@ class Encoder:
         assert sys.byteorder == "little"
         self.end = np.array([end_id], self.dtype).tobytes()
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}  # pre-tokens, which new chunks often share
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -121,15 +122,17 @@ class Encoder:
         cut = [[] if not t else None if self._whole(t) else self._chunks(t) for t in texts]
         get = self.memo.get
         ids = [c and list(map(get, c)) for c in cut]
-        new = {x for c, i in zip(cut, ids, strict=True) if i and None in i for x, y in zip(c, i, strict=True) if y is None}
-        if new:
-            learnt = self._learn(list(new))
+        absent = {x for c, i in zip(cut, ids, strict=True) if i and None in i for x, y in zip(c, i, strict=True) if y is None}
+        if absent:
+            older = self.older
+            found = {x: older[x] for x in absent if x in older}
+            found.update(self._learn([x for x in absent if x not in found]))
             for c, i in zip(cut, ids, strict=True):
                 if i and None in i:
-                    i[:] = [learnt[x] if y is None else y for x, y in zip(c, i, strict=True)]
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-            self.memo.update((c, v) for c, v in learnt.items() if len(c) <= LONGEST)
+                    i[:] = [found[x] if y is None else y for x, y in zip(c, i, strict=True)]
+            if len(self.memo) + len(found) > MEMO:
+                self.memo, self.older = {}, self.memo
+            self.memo.update((c, v) for c, v in found.items() if len(c) <= LONGEST)
         return [(self._encode([t])[0] if i is None else b"".join(i)) + self.end for t, i in zip(texts, ids, strict=True)]
 
 
