@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from siftwork import queries as Q
@@ -22,7 +23,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)].astype(object)
-    return sorted(repr([None if x is None or x != x else round(x, 6) if isinstance(x, float) else x for x in r]) for r in df.to_numpy().tolist())
+    return sorted(repr([None if pd.isna(x) else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r]) for r in df.to_numpy().tolist())
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
