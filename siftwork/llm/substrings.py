@@ -138,8 +138,8 @@ def _groups(docs: np.ndarray, first: np.ndarray, hashes: np.ndarray, size: int,
         send = np.ones(len(at), bool)
         send[gone] = False
         at, value, anchor, key, doc, position = (x[send] for x in (at, value, anchor, key, doc, position))
-    # consecutive windows with one anchor occurrence
-    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]
+    # consecutive windows with one anchor occurrence; a word may anchor them under several names
+    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]
     begin = np.flatnonzero(new)
     count = np.diff(np.r_[begin, len(at)])
     name = key[begin]

@@ -251,3 +251,25 @@ def test_spacing_is_kept(spark):
     df = spark.createDataFrame([(1, text, 5), (2, f"new\tline {text}  and more", 6)], DOCS + ", `odd name` int")
     out = {r.doc_id: r for r in substrings.without_repeats(df, keep_spacing=True).collect()}
     assert out[1].text == text and out[2].text == "new\tline and more" and out[2]["odd name"] == 6
+
+
+def test_repeats_across_chunks_with_runs(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK", 300)  # matches must be found by the receivers
+    rng = random.Random(7)
+    word = lambda: f"v{rng.randrange(50)}"
+    rows = []
+    for _ in range(150):  # windows of one run: a symbol just fits in, with other words to its left in each copy
+        run = [word()] + [word()] * rng.randrange(8, 13) + [word() for _ in range(4)]
+        rows += [" ".join([*(word() for _ in range(rng.randrange(1, 4))), *run, word()]) for _ in range(3)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    first, want = {}, {}
+    for i, t in rows:
+        w = t.split()
+        gone = np.zeros(len(w), bool)
+        for p in range(len(w) - 12):
+            if first.setdefault(tuple(w[p : p + 13]), i) < i:
+                gone[p : p + 13] = True
+        want[i] = int(gone.sum())
+    got = {r.doc_id: r.n_removed for r in substrings.without_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
