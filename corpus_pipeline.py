@@ -16,8 +16,13 @@ from siftwork.session import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts in which no language is recognised: null texts and texts without a letter."""
+    """Rejects null texts and texts without a letter, and nothing else: every other text has some likeliest language.
+
+    Where no row with a letter has a label, no language is learned and the letter alone decides.
+    """
     model = langid.fit(docs)
+    if not model.languages:
+        return langid.lettered(docs)
     return langid.predict(docs, model).filter("lang_pred <> 'und'").select(*docs.columns)
 
 

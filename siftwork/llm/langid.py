@@ -131,3 +131,14 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c.lower() not in ("lang_pred", "score", "_guess")]
     out = df.select(*[F.col(f"`{c}`") for c in kept], guess(F.col(text)).alias("_guess"))
     return out.select(*[F.col(f"`{c}`") for c in kept], "_guess.lang_pred", "_guess.score")
+
+
+def lettered(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text has a letter."""
+    prepare(df.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def has(texts):
+        return texts.map(K.has_letter).astype(bool)
+
+    return df.filter(has(F.col(text)))

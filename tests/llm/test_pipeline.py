@@ -72,3 +72,10 @@ def test_stages_keep_the_columns(spark, sf_dir):  # noqa: F811
     for _, stage in P.STAGES[:4]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
     assert Q.queries()["pipeline"] is Q.pipeline
+
+
+def test_unlabelled_corpus_stays(spark):
+    rows = [(1, "some text", None), (2, "12 34", None), (3, None, None), (4, "", "en"), (5, "\u65e5\u672c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(P.language(spark, docs, "").collect()) == [rows[0], rows[4]]
+    assert sorted(r.doc_id for r in P.language(spark, docs.replace("12 34", "b", "text").fillna("en", "lang"), "").collect()) == [1, 2, 5]
