@@ -27,9 +27,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id (one of its rows, if ids repeat)."""
-    classes = neardup.near_duplicates(docs, shingle_words=5).select(F.col("doc_id").alias("_id"), "kept").distinct()
-    return docs.join(classes.filter("kept"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each group of near duplicates stays: one with the smallest id. Rows with a null id all stay."""
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").count()
+    if ids.filter("count > 1").isEmpty():
+        classes = neardup.near_duplicates(docs, shingle_words=5).select(F.col("doc_id").alias("_id"), "kept").distinct()
+        return docs.join(classes.filter("kept"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    # ids repeat: rows are told apart by a number, and each group keeps its least (id, number)
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    known = rows.filter("doc_id is not null").select("_row", "doc_id", "text")
+    classes = neardup.near_duplicates(known, id_col="_row", shingle_words=5).select("component_id", F.col("doc_id").alias("_row"))
+    order = F.struct("doc_id", "_row")
+    classes = stored(classes.join(known.select("_row", "doc_id"), "_row"), "numbered-classes")
+    least = classes.groupBy("component_id").agg(F.min(order)["_row"].alias("_least"))
+    gone = classes.join(least, "component_id").filter("_row <> _least").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,11 @@ def test_unlabelled_corpus_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(P.language(spark, docs, "").collect()) == [rows[0], rows[4]]
     assert sorted(r.doc_id for r in P.language(spark, docs.replace("12 34", "b", "text").fillna("en", "lang"), "").collect()) == [1, 2, 5]
+
+
+def test_repeated_rows_are_near_duplicates(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, a + " x"), (3, b), (4, c), (5, c + " y"), (5, a), (5, "z"), (6, None), (6, None), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, P.near_duplicates(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (4, c), (5, "z"), (6, None), (6, None), (None, a), (None, a)], key=str)
