@@ -16,7 +16,7 @@ from siftwork.session import prepare
 #: Character n-gram lengths and hash buckets: the model has at most classes x 2**BITS float32 numbers.
 GRAMS = (1, 2, 3)
 BITS = 16
-#: The evidence of a text counts as that of so many n-grams at most, so that scores stay apart from 1.
+#: In a score, the evidence of a text counts as that of so many n-grams at most, so that scores stay apart from 1.
 EVIDENCE = 200.0
 #: More languages than this would make the broadcast matrix exceed 64 MB.
 MOST_LANGUAGES = 256
@@ -59,9 +59,9 @@ class Model:
                 total += seen.astype(np.float64) @ self.weight
             else:
                 total += self.weight[buckets].sum(0, dtype=np.float64)
+        best = int(np.argmax(self.prior + total))  # of the whole text; ties: the first name
         x = self.prior + total * min(1.0, EVIDENCE / max(grams, 1))
         x = np.exp(x - x.max())
-        best = int(np.argmax(x))  # ties: the first name
         return self.languages[best], float(x[best] / x.sum())
 
 

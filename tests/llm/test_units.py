@@ -273,3 +273,12 @@ def test_repeats_across_chunks_with_runs(spark, monkeypatch):
         want[i] = int(gone.sum())
     got = {r.doc_id: r.n_removed for r in substrings.without_repeats(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == want
+
+
+def test_long_text_outweighs_the_prior():
+    weight = np.full((1 << langid.BITS, 2), np.log(1e-4), np.float32)
+    weight[:, 1] += 0.04  # a little likelier, n-gram by n-gram
+    model = langid.Model(["common", "rare"], np.log([10_000.0, 1.0]), weight)
+    assert model.predict("word " * 4)[0] == "common"
+    name, score = model.predict("word " * 1000)
+    assert name == "rare" and 0 < score < 0.9
