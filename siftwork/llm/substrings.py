@@ -7,6 +7,8 @@ Every symbol carries the span of words on which its parse depends. A window of
 words is represented by its anchor: of the symbols whose dependence lies inside
 the window, the one of the highest level and smallest name. Equal windows have
 equal anchors, so it is enough to bring together what shares an anchor name.
+Windows of 13 words use one round, so symbols are words, runs and one layer of
+pairs; a window's hash decides, its anchor only routes it.
 
 Tasks group their windows by anchor, drop those for which they have seen a
 smaller document (which also keeps hot passages to one row a task), and send
@@ -63,7 +65,7 @@ def _anchors(names: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarra
     best = np.full((size + 1, n + size), none)
     best[1, :n] = (names >> np.uint64(2)) | np.uint64(3 << 62)  # a word depends on itself only
     start, end, low, high = p, p + 1, p, p + 1
-    levels = min(3, max(1, size.bit_length() - 3))  # higher symbols would seldom fit in a window with their dependence
+    levels = min(3, max(1, size.bit_length() - 3))  # fewer consecutive windows share a higher symbol, as its dependence is wider
     for level in range(1, levels + 1):
         # runs of one name: that a run ends depends on the symbols beside it
         at = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])])
