@@ -20,8 +20,6 @@ CAPACITY = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 #: Tokens packed together; documents of a group share no sequence with others.
 GROUP = 1 << 20
-#: Sequences tried, by rising cost, before a document is cut.
-TRIES = 8
 
 
 def capacities(total: int, capacity: int) -> list[int]:
@@ -38,8 +36,8 @@ def assign(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR,
 
     A document's full-capacity parts are sequences of their own. The remainders,
     in descending length, go to the sequence of lowest cost which has room; when
-    none of the TRIES cheapest has room for the whole, the cheapest is filled and
-    the rest goes back in line. Sequence lengths add up to the tokens, so all end full.
+    none at all has room for the whole, the cheapest is filled and the rest goes
+    back in line. Sequence lengths add up to the tokens, so all end full.
     """
     out, sequence, line = [], 0, []
     for d, n in enumerate(lengths):
@@ -51,26 +49,34 @@ def assign(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR,
     room = capacities(-sum(x[0] for x in line), capacity)
     filled = [0] * len(room)
     heapq.heapify(line)
-    open_ = [(0.0, i) for i in range(len(room))]
+    # lengths never rise, so a sequence with room for one remainder has room for the next until it takes one
+    cost = [0.0] * len(room)
+    fits: list[tuple[float, int]] = []  # with room for the length in turn, by cost
+    tight = [(-r, i) for i, r in enumerate(room)]  # the others, by room
+    cheapest = [(0.0, i) for i in range(len(room))]  # all, by cost; entries of an earlier cost are skipped
+    heapq.heapify(tight)
     while line:
         n, d, start = heapq.heappop(line)
-        n, passed = -n, []
-        while True:
-            cost, i = heapq.heappop(open_)
-            if room[i] >= n or len(passed) == TRIES - 1 or not open_:
-                break
-            passed.append((cost, i))
-        if room[i] < n and passed:  # none fits: the cheapest takes what it can
-            passed.append((cost, i))
-            cost, i = passed.pop(0)
-        for x in passed:
-            heapq.heappush(open_, x)
+        n = -n
+        while tight and -tight[0][0] >= n:
+            i = heapq.heappop(tight)[1]
+            if room[i]:
+                heapq.heappush(fits, (cost[i], i))
+        if fits:
+            i = heapq.heappop(fits)[1]
+        else:  # none fits: the cheapest takes what it can
+            while True:
+                c, i = heapq.heappop(cheapest)
+                if room[i] and c == cost[i]:
+                    break
         m = min(n, room[i])
         out.append((d, start, m, sequence + i, filled[i]))
         filled[i] += m
         room[i] -= m
+        cost[i] += linear * m + quadratic * m * m
         if room[i]:
-            heapq.heappush(open_, (cost + linear * m + quadratic * m * m, i))
+            heapq.heappush(cheapest, (cost[i], i))
+            heapq.heappush(tight, (-room[i], i))
         if m < n:
             heapq.heappush(line, (m - n, d, start + m))
     return out

@@ -282,3 +282,22 @@ def test_long_text_outweighs_the_prior():
     assert model.predict("word " * 4)[0] == "common"
     name, score = model.predict("word " * 1000)
     assert name == "rare" and 0 < score < 0.9
+
+
+def test_documents_are_cut_only_where_nothing_has_room():
+    rng = random.Random(8)
+    for _ in range(60):
+        lengths = [rng.choice((rng.randrange(1, 1024), rng.randrange(1, 120))) for _ in range(rng.randrange(1, 80))]
+        room, cost = packing.capacities(sum(lengths), 1024), {}
+        line, want = sorted((-n, d, 0) for d, n in enumerate(lengths)), []
+        while line:
+            n, d, start = line.pop(0)
+            open_ = sorted((cost.get(i, 0.0), i) for i, r in enumerate(room) if r)
+            i = next((i for _, i in open_ if room[i] >= -n), open_[0][1])
+            m = min(-n, room[i])
+            want.append((d, start, m, i))
+            room[i] -= m
+            cost[i] = cost.get(i, 0.0) + m + m * m / 512
+            if m < -n:
+                line = sorted([*line, (n + m, d, start + m)])
+        assert [x[:4] for x in packing.assign(lengths)] == want
