@@ -160,14 +160,17 @@ def histogram_corr(spark, d):
 
 @query()
 def near_duplicates(spark, d):
-    """The full item de-duplication on letter histograms: 64 comparisons of letter counts as one hash, 64 others as the second."""
+    """The full item de-duplication at its production limits, on letter histograms: 64 comparisons of letter counts as one hash, 64 others as the second.
+
+    Texts of one language have much the same letters, so a large share of all pairs is near and the pairs grow with the square of the table.
+    """
     pairs = [(i, j) for i in range(26) for j in range(i + 1, 26)]
     bits = lambda chosen: H.pack_bits(F.array(*[F.get("histogram", i) > F.get("histogram", j) for i, j in chosen]))
     items = _letters(spark, d).select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.lit("pending").alias("status"), F.col("n_chars").cast("double").alias("quality"), F.xxhash64("histogram", "n_chars").cast("string").alias("sha256"),
         bits(pairs[0:256:4]).alias("phash"), bits(pairs[1:257:4]).alias("dhash"), "histogram",
     )
-    out = dedupe.deduplicate(items, phash=1, dhash=2, correlation=0.995)
+    out = dedupe.deduplicate(items)
     return out.select("id", "status", "keeper", "filter_reason", "phash_distance", "dhash_distance", "histogram_correlation")
 
 

@@ -43,3 +43,9 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_near_duplicates_run_at_the_production_limits(spark):
+    near = Q.queries()["near_duplicates"](spark, DIR).filter("filter_reason = 'near_duplicate'").toPandas()
+    assert 1 < near.phash_distance.max() <= 6 and 2 < near.dhash_distance.max() <= 8
+    assert near.histogram_correlation.min() >= 0.85
