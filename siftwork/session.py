@@ -24,10 +24,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where unset (local runs, tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or where it is unset in a local session a temporary one.
+
+    On a cluster it has to be set: a folder of one machine would lose rows.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = spark.conf.get("siftwork.local.dir", None)
         if not folder:
             folder = tempfile.mkdtemp(prefix="siftwork-")
@@ -47,11 +52,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return _SCRATCH[-1]
 
 
-def release(spark: SparkSession) -> int:
-    """Delete all intermediate tables of this process, once no result that reads them is needed; returns how many."""
+def mark() -> int:
+    """The intermediate tables so far, for :func:`release`."""
+    return len(_SCRATCH)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete this process's intermediate tables, once no result that reads them is needed; returns how many.
+
+    Of those made after the mark ``since``, all but the last ``keep``.
+    """
     conf, n = spark._jsc.hadoopConfiguration(), 0
-    while _SCRATCH:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    end = len(_SCRATCH) - keep
+    gone, _SCRATCH[since:end] = _SCRATCH[since:end], []
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 

@@ -8,3 +8,30 @@ def test_stored_tables_can_be_released(spark):
     assert sorted(r.x for r in df.collect()) == [0, 2, 4, 6, 8]
     assert session.release(spark) >= 1
     assert session.release(spark) == 0
+
+
+def test_release_since_a_mark(spark):
+    session.release(spark)
+    first, begin = session.stored(spark.range(2), "a"), session.mark()
+    session.stored(spark.range(3), "b")
+    last = session.stored(spark.range(4), "c")
+    assert session.release(spark, since=begin, keep=1) == 1
+    assert (first.count(), last.count()) == (2, 4)
+    assert session.release(spark) == 2
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    import pytest
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
