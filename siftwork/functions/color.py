@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,8 +130,31 @@ def _named(hue: Column, light: Column, sat: Column, top: Column) -> Column:
 
 
 def hue_targets(text: Column) -> Column:
-    """Families named in a text, in order; cyan is left out where a blue of that kind is named."""
-    hits = [F.when(F.greatest(*[text.contains(w) for w in words]) if len(words) > 1 else text.contains(words[0]), F.lit(family)) for family, words, _ in HUE_FAMILIES]
-    cyan_blue = text.contains("青蓝") | text.contains("孔雀蓝")
-    hits = [F.when(~cyan_blue, h) if f[0] == "青" else h for h, f in zip(hits, HUE_FAMILIES, strict=True)]
+    """array of struct(family, hue): the families named in a text, in their own order; cyan is left out where a blue of that kind is named."""
+    hits = []
+    for family, words, hue in HUE_FAMILIES:
+        named = reduce(Column.__or__, [text.contains(w) for w in words])
+        if family == "青":
+            named = named & ~(text.contains("青蓝") | text.contains("孔雀蓝"))
+        hits.append(F.when(named, F.struct(F.lit(family).alias("family"), F.lit(hue).alias("hue"))))
     return F.array_compact(F.array(*hits))
+
+
+def accent_targets(text: Column) -> Column:
+    """array of struct(family, hue): families that share a clause with an accent word, by the least distance between the two.
+
+    Each family counts once, with its nearest place; cyan yields to a blue that is nearer.
+    """
+
+    def places(clause: Column, words) -> Column:
+        return F.filter(F.array(*[F.locate(w, clause) for w in words]), lambda at: at > 0)
+
+    def pairs(clause: Column) -> Column:
+        marks = places(clause, ACCENT_MARKERS)
+        apart = lambda words: F.array_min(F.flatten(F.transform(places(clause, words), lambda a: F.transform(marks, lambda b: F.abs(a - b)))))
+        return F.array(*[F.struct(apart(words).alias("apart"), F.lit(family).alias("family"), F.lit(hue).alias("hue")) for family, words, hue in HUE_FAMILIES])
+
+    found = F.filter(F.flatten(F.transform(F.split(text, "[，。；;]"), pairs)), lambda x: x["apart"].isNotNull())
+    nearest = {family: F.array_min(F.filter(found, lambda x, f=family: x["family"] == f)) for family, _, _ in HUE_FAMILIES}
+    nearest["青"] = F.when(nearest["蓝"].isNull() | (nearest["青"] < nearest["蓝"]), nearest["青"])
+    return F.transform(F.array_sort(F.array_compact(F.array(*nearest.values()))), lambda x: F.struct(x["family"].alias("family"), x["hue"].alias("hue")))

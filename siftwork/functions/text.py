@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The frame-name grammar and the patterns that count as private.
 FRAME_NAME = r"^(VID-[0-9]{4})__([0-9]{12})__(scene|uniform|boundary)__([0-9]{4})\.jpg$"
-FRAME_PREFIX = r"^(VID-[0-9]{4})__([0-9]{12})__(scene|uniform|boundary)__"
+FRAME_PREFIX = r"^(VID-[0-9]{4})__([0-9]{12})__(scene|uniform|boundary)__[0-9]{4}"
 HEX = r"#[0-9A-Fa-f]{6}"
 WINDOWS_HOME = r"(?i)[A-Z]:\\(?:Users|Documents and Settings)\\"
 UNIX_HOME = r"/(?:Users|home)/[^/\s]+/"
@@ -36,7 +36,7 @@ def is_blank(x: Column) -> Column:
 def portable_path(x: Column) -> Column:
     """A relative POSIX path: not blank, no backslash, drive letter or leading slash, no '..' part. '.' parts pass."""
     parts = F.split(x, "/")
-    bad = is_blank(x) | x.contains("\\") | x.rlike("^[A-Za-z]:") | x.startswith("/") | F.array_contains(parts, "..") | (x == ".")
+    bad = is_blank(x) | x.contains("\\") | x.rlike("^[A-Za-z]:") | x.startswith("/") | F.array_contains(parts, "..")
     return F.coalesce(~bad, F.lit(False))
 
 

@@ -442,7 +442,7 @@ def redaction(spark, d):
 
 
 @query("""
-SELECT page_id, p AS path, coalesce(regexp_matches(p, '\\S') AND NOT contains(p, '\\') AND NOT regexp_matches(p, '^[A-Za-z]:') AND NOT starts_with(p, '/') AND NOT list_contains(string_split(p, '/'), '..') AND p <> '.', false) AS portable
+SELECT page_id, p AS path, coalesce(regexp_matches(p, '\\S') AND NOT contains(p, '\\') AND NOT regexp_matches(p, '^[A-Za-z]:') AND NOT starts_with(p, '/') AND NOT list_contains(string_split(p, '/'), '..'), false) AS portable
 FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN regexp_extract(url, '://[^/]*/(.*)$', 1) WHEN 2 THEN '../' || page_id ELSE regexp_extract(url, '://[^/]*(.*)$', 1) END AS p FROM pages)
 """)
 def portable_paths(spark, d):

@@ -46,7 +46,7 @@ def test_thresholds_and_even_times(spark):
 
 
 def test_paths(spark):
-    rows = [("a/b", True), ("/a", False), ("a\\b", False), ("C:x", False), ("../a", False), ("a/./b", True), ("", False), (None, False), ("  ", False), ("a/../b", False), ("a..b/c", True)]
+    rows = [("a/b", True), ("/a", False), ("a\\b", False), ("C:x", False), ("../a", False), ("a/./b", True), ("", False), (None, False), ("  ", False), ("a/../b", False), ("a..b/c", True), (".", True)]
     for r in one(spark, rows, "p string, want boolean", got=T.portable_path(F.col("p"))):
         assert r.got == r.want, r
     rows = [("/c/a/x.PNG", "a/x.PNG", ".png"), ("/d/y", "y", ""), ("/c/.hidden", ".hidden", "")]
@@ -67,7 +67,7 @@ def test_privacy_patterns(spark):
 
 
 def test_names_and_times(spark):
-    rows = [("VID-0001__000000001500__scene__0002.jpg", ("VID-0001", 1500, "scene", 2)), ("other.jpg", (None, None, None, None)), ("VID-0001__000000001500__odd__0002.jpg", (None, None, None, None))]
+    rows = [("VID-0001__000000001500__scene__0002.jpg", ("VID-0001", 1500, "scene", 2)), ("other.jpg", (None, None, None, None)), ("VID-0001__000000001500__odd__0002.jpg", (None, None, None, None)), ("VID-0001__000000001500__scene__x.jpg", (None, None, None, None))]
     for r in one(spark, [(n,) for n, _ in rows], "n string", p=T.frame_parts(F.col("n")), i=T.frame_identity(F.col("n"))):
         assert tuple(r.p) == dict(rows)[r.n]
         assert tuple(r.i) == ((1500, "scene", "VID-0001") if r.p.video else (0, "frame", r.n.removesuffix(".jpg")))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftwork.functions import color as C
 from siftwork.operators import dedupe, images, palette
 from siftwork.sources import media, sinks
 
@@ -84,10 +85,13 @@ def test_palette_error(spark):
     assert len(got) == 1 and "ten colours" in got[0].error
 
 
-def test_words_for_hues():
-    assert palette.accent_hues("大面积蓝，少量橙点缀；局部红") == [("橙", 28.0), ("红", 4.0)]
-    assert palette.accent_hues("蓝色为主") == []
-    assert [f for f, _ in palette.named_hues("孔雀蓝与青绿")] == ["蓝", "绿"]
+def test_words_for_hues(spark):
+    rows = ["大面积蓝，少量橙点缀；局部红", "蓝色为主", "孔雀蓝与青绿", "局部蓝与少量青", "局部青，点缀在远处的一大片蓝", "点缀青绿与一块红；红少量", ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string")
+    got = df.orderBy("i").select(C.accent_targets(F.col("x")).alias("accents"), C.hue_targets(F.col("x")).alias("named")).collect()
+    accents, named = [[(t.family, t.hue) for t in r.accents] for r in got], [[t.family for t in r.named] for r in got]
+    assert accents[0] == [("橙", 28.0), ("红", 4.0)] and accents[1] == [] and named[2] == ["蓝", "绿"]
+    assert [[f for f, _ in x] for x in accents[3:]] == [["蓝"], ["青", "蓝"], ["红", "绿", "青"], []]
 
 
 def test_listing_probe_and_sinks(spark, folder, tmp_path):
