@@ -21,14 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm import kernels as K
 from siftwork.llm.tokens import encoder
 from siftwork.session import prepare, scratch_path, stored
 
 SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 256
-#: Characters of text in a file.
-FILE_CHARS = 24_000_000
+#: Characters of text in a file, and the most files: of a larger corpus, files get longer.
+FILE_CHARS, MOST_FILES = 24_000_000, 200_000
+#: Bytes of text encoded at a time.
+PIECE = 12 << 20
 
 
 def _open(uri: str):
@@ -55,18 +58,17 @@ class _Writer:
         self.sinks = [self.fs.open_output_stream(x) for x in self.temporary]
         self.files = [pa.ipc.new_file(s, k) for s, k in zip(self.sinks, (self.schema, self.index), strict=True)]
 
-    def add(self, ids: list[int | None], encoded: list[bytes]) -> None:
-        lengths = np.array([len(x) // self.dtype.itemsize for x in encoded], np.int64)
-        starts = self.total + np.r_[0, np.cumsum(lengths)[:-1]]
-        self.files[1].write_batch(pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts), pa.array(lengths)], schema=self.index))
-        self.total += int(lengths.sum())
-        self.held += encoded
-        self.size += int(lengths.sum())
+    def add(self, ids: pa.Array, encoded: np.ndarray, offsets: np.ndarray) -> None:
+        starts, lengths = self.total + offsets[:-1], np.diff(offsets)
+        self.files[1].write_batch(pa.record_batch([ids, pa.array(starts), pa.array(lengths)], schema=self.index))
+        self.total += len(encoded)
+        self.held.append(encoded)
+        self.size += len(encoded)
         if self.size >= BATCH * self.sequence:
             self._flush(last=False)
 
     def _flush(self, last: bool) -> None:
-        stream = np.frombuffer(b"".join(self.held), self.dtype)
+        stream = np.concatenate([np.zeros(0, self.dtype), *self.held])
         whole = BATCH * self.sequence
         for low in range(0, len(stream), whole):
             part = stream[low : low + whole]
@@ -79,7 +81,7 @@ class _Writer:
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (part, mask)]
             self.files[0].write_batch(pa.record_batch(lists, schema=self.schema))
         rest = len(stream) % whole if not last else 0
-        self.held, self.size = ([stream[len(stream) - rest :].tobytes()] if rest else []), rest
+        self.held, self.size = [stream[len(stream) - rest :]] if rest else [], rest
 
     def close(self) -> list[str]:
         self._flush(last=True)
@@ -109,10 +111,10 @@ class TokenFile:
             self._held = (i, self.tokens.get_batch(i).column(0).flatten().to_numpy())
         return self._held[1]
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask (false: padding) of sequence i, both as views of the file; the mask stays in Arrow's bits."""
         batch = self.tokens.get_batch(i // BATCH)
-        return batch.column(0)[i % BATCH].values.to_numpy(), batch.column(1)[i % BATCH].values.to_numpy(zero_copy_only=False)
+        return batch.column(0)[i % BATCH].values.to_numpy(), batch.column(1)[i % BATCH].values
 
     def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from start on, in one view for each record batch touched."""
@@ -132,17 +134,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    parts = min(max(1, -(-size // FILE_CHARS)), 50_000)
+    parts = min(max(1, -(-size // FILE_CHARS)), MOST_FILES)
     ordered = rows.repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer, n = TaskContext.get().partitionId(), None, 0
         encode = encoder(tokenizer_path, end_id)
         for batch in batches:
-            for low in range(0, len(batch), 256):
-                some = batch.slice(low, 256)
+            for low, high in K.pieces(batch.column(1), PIECE):
+                some = batch.slice(low, high - low)
                 writer = writer or _Writer(folder, part, encode.dtype, sequence)
-                writer.add(some.column(0).to_pylist(), encode.encode(some.column(1).to_pylist()))
+                writer.add(some.column(0), *encode.encode(some.column(1)))
                 n += len(some)
         if writer:
             writer.close()
