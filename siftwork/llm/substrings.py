@@ -11,10 +11,13 @@ Windows of 13 words use one round, so symbols are words, runs and one layer of
 pairs; a window's hash decides, its anchor only routes it.
 
 Tasks group their windows by anchor, drop those for which they have seen a
-smaller document (which also keeps hot passages to one row a task), and send
-the rest by anchor: 32 bits of the name, the first position, and 48 bits of each
-window's hash, so that a window is identified by over 80 bits. Receivers find the smallest
-document of each window; covered words are then removed from the texts.
+smaller document, first within a chunk of text and then against a table that a
+task carries from chunk to chunk (so a passage that stands everywhere sends few
+rows a task), and send the rest by anchor: 32 bits of the name, the place of the
+first window, and each window's 64-bit hash, so that a window is identified by
+96 bits. Receivers find the smallest document of each window; covered words are
+then removed from the texts. A row is known by its id, and where ids repeat by
+the hash of its text too: rows equal in both lose the same words.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +39,8 @@ WINDOW = 13
 BLOCK = 1 << 17
 #: Bytes of text that a task groups at a time, and characters of the corpus for each receiver.
 CHUNK, BUCKET_CHARS = 4 << 20, 6_000_000
+#: Slots (a power of two) of the table of windows that a task has seen: 29 bytes each.
+SEEN = 1 << 21
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,97 +125,145 @@ def _beside(low: np.ndarray, high: np.ndarray, start: np.ndarray, owner: np.ndar
     return new_low, new_high
 
 
-def _groups(docs: np.ndarray, first: np.ndarray, hashes: np.ndarray, size: int, buckets: int, parts: int, homes: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, payload) of a chunk; docs: the row's key, not negative. Places that a smaller document of the chunk repeats go to bucket -1 - home."""
+class Seen:
+    """Windows of a task's earlier chunks with their smallest document. What is met again stays; the rest makes room for newer ones.
+
+    It only saves rows: a window that it has lost is sent and found by its receiver.
+    """
+
+    def __init__(self) -> None:
+        self.value, self.key, self.doc = np.zeros(SEEN, np.uint64), np.zeros(SEEN, np.uint32), np.zeros(SEEN, np.int64)
+        self.used, self.hot = np.zeros(SEEN, bool), np.zeros(SEEN, bool)
+        self.shift = np.uint64(65 - SEEN.bit_length())
+
+    def later(self, value: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which windows a smaller document of an earlier chunk holds; equal windows have the same document here."""
+        slot, short = (value >> self.shift).astype(np.int64), (key >> np.uint64(32)).astype(np.uint32)
+        met = self.used[slot] & (self.value[slot] == value) & (self.key[slot] == short)
+        gone = met & (self.doc[slot] < doc)
+        self.hot[slot[met]] = True
+        fresh = np.flatnonzero(np.where(met, ~gone, ~self.hot[slot]))
+        slot = slot[fresh]
+        self.value[slot], self.key[slot], self.doc[slot], self.used[slot] = value[fresh], short[fresh], doc[fresh], True
+        return gone
+
+
+def _groups(docs: np.ndarray, parts: np.ndarray | None, first: np.ndarray, hashes: np.ndarray, size: int, buckets: int, homes: int, seen: Seen | None = None) -> Iterator[tuple[int, bytes]]:
+    """(bucket, payload) of a chunk; docs: the rows' ids, parts: what tells rows of one id apart. Places that a smaller document seen by the task repeats go to bucket -1 - home."""
     at, value, anchor, key = windows(hashes, first, size)
     if not len(at):
         return
     row = np.searchsorted(first, at, "right") - 1
-    doc = docs[row]
     position = (at - first[row]).astype(np.int64)
-    number = doc // parts
-    order = np.lexsort((number, value))
-    v, d = value[order], number[order]
+    doc = docs[row]
+    order = np.lexsort((doc, value))
+    v, d = value[order], doc[order]
     head = np.r_[True, v[1:] != v[:-1]]
-    least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
-    gone = order[d > least]
-    if len(gone):
-        for home, payload in _by_home(doc[gone], position[gone], homes):
+    least = np.empty(len(doc), np.int64)
+    least[order] = d[np.flatnonzero(head)][np.cumsum(head) - 1]
+    gone = doc > least
+    if seen is not None:
+        rest = np.flatnonzero(~gone)
+        gone[rest[seen.later(value[rest], key[rest], doc[rest])]] = True
+    if gone.any():
+        for home, payload in _by_home(doc[gone], None if parts is None else parts[row[gone]], position[gone], homes):
             yield -1 - home, payload
-        send = np.ones(len(at), bool)
-        send[gone] = False
-        at, value, anchor, key, doc, position = (x[send] for x in (at, value, anchor, key, doc, position))
+        at, value, anchor, key, doc, position, row = (x[~gone] for x in (at, value, anchor, key, doc, position, row))
+        if not len(at):
+            return
     # consecutive windows with one anchor occurrence; a word may anchor them under several names
-    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]
+    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)]
     begin = np.flatnonzero(new)
     count = np.diff(np.r_[begin, len(at)])
     name = key[begin]
     bucket = (K.mix(name) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cut = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(order)]
-    value = value >> np.uint64(16)
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         mine = order[a:b]
         length = count[mine]
         flat = np.repeat(begin[mine] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-        base = int(doc[begin[mine]].min())
-        offset = (doc[begin[mine]] - base).astype(np.uint64)
-        wide = bool(len(offset) and offset.max() >= 1 << 32)
+        heads = begin[mine]
         columns = [
-            (name[mine] >> np.uint64(20)).astype(np.uint32), length.astype(np.uint8), offset.astype(np.uint64 if wide else np.uint32),
-            position[begin[mine]].astype(np.uint32), value[flat].astype(np.uint32), (value[flat] >> np.uint64(32)).astype(np.uint16),
+            (name[mine] >> np.uint64(20)).astype(np.uint32).tobytes(), length.astype(np.uint8).tobytes(), _planes(_steps(doc[heads].view(np.uint64))),
+            _planes(_steps(position[heads].astype(np.uint64))), value[flat].tobytes(), b"" if parts is None else _planes(_steps(parts[row[heads]].view(np.uint64))),
         ]
-        yield int(bucket[mine[0]]), struct.pack("<iiq?", len(mine), len(flat), base, wide) + b"".join(c.tobytes() for c in columns)
-
-
-def _read(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor name, hash bits, document and position by window."""
-    n, total, base, wide = struct.unpack_from("<iiq?", payload)
-    at = struct.calcsize("<iiq?")
-    out = []
-    for kind, k in ((np.uint32, n), (np.uint8, n), (np.uint64 if wide else np.uint32, n), (np.uint32, n), (np.uint32, total), (np.uint16, total)):
-        out.append(np.frombuffer(payload, kind, k, at))
-        at += out[-1].nbytes
-    name, length, offset, position, short, more = out
-    length = length.astype(np.int64)
+        yield int(bucket[mine[0]]), struct.pack("<ii?", len(mine), len(flat), parts is not None) + b"".join(columns)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours modulo 2**64, the first one from 0."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    return out
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on: small numbers leave long runs of zeros to the exchange's compression.
+
+    Differences that go down are folded to small numbers too.
+    """
+    folded = (x << np.uint64(1)) ^ (np.uint64(0) - (x >> np.uint64(63)))
+    return folded.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _joined(payload: bytes, n: int, at: int) -> np.ndarray:
+    """The numbers whose steps were written by ``_planes``."""
+    x = np.ascontiguousarray(np.frombuffer(payload, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).reshape(-1)
+    return np.cumsum((x >> np.uint64(1)) ^ (np.uint64(0) - (x & np.uint64(1))), dtype=np.uint64)
+
+
+def _read(payload: bytes) -> tuple[np.ndarray, ...]:
+    """Anchor name, hash, document, part and position by window."""
+    n, total, parted = struct.unpack_from("<ii?", payload)
+    at = struct.calcsize("<ii?")
+    name, length = np.frombuffer(payload, np.uint32, n, at), np.frombuffer(payload, np.uint8, n, at + 4 * n).astype(np.int64)
+    at += 5 * n
+    doc, position = _joined(payload, n, at).view(np.int64), _joined(payload, n, at + 8 * n).view(np.int64)
+    value = np.frombuffer(payload, np.uint64, total, at + 16 * n)
+    part = _joined(payload, n, at + 16 * n + 8 * total).view(np.int64) if parted else np.zeros(n, np.int64)
     step = np.arange(total) - np.repeat(np.r_[0, np.cumsum(length)[:-1]], length)
-    value = short.astype(np.uint64) | (more.astype(np.uint64) << np.uint64(32))
-    return np.repeat(name, length), value, np.repeat(offset.astype(np.int64) + base, length), np.repeat(position.astype(np.int64), length) + step
+    return np.repeat(name, length), value, np.repeat(doc, length), np.repeat(part, length), np.repeat(position, length) + step
 
 
-def _by_home(doc: np.ndarray, position: np.ndarray, homes: int) -> Iterator[tuple[int, bytes]]:
-    """(home, payload) of the places (document, first word), one row for each home."""
-    home = doc % homes
+def _by_home(doc: np.ndarray, part: np.ndarray | None, position: np.ndarray, homes: int) -> Iterator[tuple[int, bytes]]:
+    """(home, payload) of the places (document, part, first word), one row for each home."""
+    home = (doc if part is None else doc ^ part) % homes
     order = np.argsort(home, kind="stable")
     cut = np.r_[0, np.flatnonzero(np.diff(home[order])) + 1, len(order)]
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         mine = order[a:b]
-        yield int(home[mine[0]]), struct.pack("<i", len(mine)) + doc[mine].astype("<i8").tobytes() + position[mine].astype("<u4").tobytes()
+        columns = [doc[mine].astype("<i8").tobytes(), position[mine].astype("<u4").tobytes(), b"" if part is None else part[mine].astype("<i8").tobytes()]
+        yield int(home[mine[0]]), struct.pack("<i?", len(mine), part is not None) + b"".join(columns)
 
 
-def _places(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    (n,) = struct.unpack_from("<i", payload)
-    return np.frombuffer(payload, "<i8", n, 4), np.frombuffer(payload, "<u4", n, 4 + 8 * n)
+def _places(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, part and first word of each place."""
+    n, parted = struct.unpack_from("<i?", payload)
+    part = np.frombuffer(payload, "<i8", n, 5 + 12 * n) if parted else np.zeros(n, np.int64)
+    return np.frombuffer(payload, "<i8", n, 5), part, np.frombuffer(payload, "<u4", n, 5 + 8 * n)
 
 
 def _rows(found: list[tuple[int, bytes]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names)
 
 
-def repeated_windows(keyed: DataFrame, window: int, parts: int, buckets: int, homes: int) -> DataFrame:
+def repeated_windows(keyed: DataFrame, window: int, buckets: int, homes: int, parted: bool) -> DataFrame:
     """(home, places): first words of windows that also start in a smaller document, for all documents of a home; a home has several rows.
 
-    ``keyed`` has key (a long, document number * parts + part) and text; a
-    document's home is its key modulo ``homes``.
+    ``keyed`` has id, part (longs; part is used where ``parted``) and text; a
+    document's home is its id, with the bits of its part flipped, modulo ``homes``.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for whole in batches:
-            for low, high in K.pieces(whole.column(1), CHUNK):
-                part = whole.slice(low, high - low)
-                data, offsets = K.text_buffer(part.column(1))
+            for low, high in K.pieces(whole.column(2), CHUNK):
+                some = whole.slice(low, high - low)
+                data, offsets = K.text_buffer(some.column(2))
                 _, hashes, first = K.words(data, offsets, K.SPACE)
-                found = list(_groups(part.column(0).to_numpy(), first, hashes, window, buckets, parts, homes))
+                parts = some.column(1).to_numpy() if parted else None
+                found = list(_groups(some.column(0).to_numpy(), parts, first, hashes, window, buckets, homes, seen))
                 yield _rows(found, ["bucket", "payload"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,16 +275,15 @@ def repeated_windows(keyed: DataFrame, window: int, parts: int, buckets: int, ho
                 return
             read = [_read(x) for x in held]
             held.clear()
-            name, value, doc, position = (np.concatenate(x) for x in zip(*read, strict=True))
+            name, value, doc, part, position = (np.concatenate(x) for x in zip(*read, strict=True))
             del read
-            number = doc // parts
-            order = np.lexsort((number, value, name))
-            a, b, d = name[order], value[order], number[order]
+            order = np.lexsort((doc, value, name))
+            a, b, d = name[order], value[order], doc[order]
             head = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
             least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
             gone = order[d > least]
             if len(gone):
-                yield _rows(list(_by_home(doc[gone], position[gone], homes)), ["home", "places"])
+                yield _rows(list(_by_home(doc[gone], part[gone] if parted else None, position[gone], homes)), ["home", "places"])
 
         for batch in batches:
             for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -245,7 +297,7 @@ def repeated_windows(keyed: DataFrame, window: int, parts: int, buckets: int, ho
                 held.append(payload)
         yield from done()
 
-    sent = keyed.select("key", "text").mapInArrow(send, "bucket bigint, payload binary")
+    sent = keyed.select("id", "part", "text").mapInArrow(send, "bucket bigint, payload binary")
     # rows of negative buckets need no partner: they are spread
     spread = F.when(F.col("bucket") < 0, F.xxhash64("payload")).otherwise(F.col("bucket"))
     return sent.repartition(buckets, spread).sortWithinPartitions("bucket").mapInArrow(receive, "home bigint, places binary")
@@ -265,54 +317,55 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     names = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    ids = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"))
-    bounds = ids.groupBy("id").count().filter("id is not null").agg(F.max("count").alias("most"), F.min("id").alias("low"), F.max("id").alias("high")).first()
-    parts, low = bounds["most"] or 1, bounds["low"] or 0
-    if ((bounds["high"] or 0) - low + 1) * parts >= 1 << 62:
-        raise OverflowError("ids span too many numbers to be told apart")
-    number = (F.col(f"`{id_col}`").cast("long") - F.lit(low)) * F.lit(parts)
-    if parts > 1:
-        number = number + F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(F.col(f"`{text_col}`"))) - 1
+    number = F.col(f"`{id_col}`").cast("long")
+    repeats = rows.select(number.alias("id")).filter("id is not null").groupBy("id").count().agg(F.max("count").alias("most")).first()
+    parted = (repeats["most"] or 1) > 1
     struct_ = F.struct(*[F.col(f"`{c}`") for c in names if c != text_col])
-    keyed = rows.select(number.alias("key"), F.col(f"`{text_col}`").alias("text"), struct_.alias("rest"))
+    text = F.col(f"`{text_col}`")
+    part = F.xxhash64(text) if parted else F.lit(0).cast("long")
+    keyed = rows.select(number.alias("id"), part.alias("part"), text.alias("text"), struct_.alias("rest"))
     size = keyed.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, int(-(-size // BUCKET_CHARS)))
     homes = next(n for n in range(buckets | 1, 1 << 62, 2) if all(n % p for p in range(3, int(n**0.5) + 1, 2)))  # a prime: even for keys in steps
-    places = repeated_windows(keyed.filter("key is not null and text is not null"), window, parts, buckets, homes)
+    places = repeated_windows(keyed.filter("id is not null and text is not null"), window, buckets, homes, parted)
     rest_type = keyed.schema["rest"].dataType
-    # rows with a null key have no places: they are spread by text
-    home = F.pmod(F.coalesce(F.col("key"), F.xxhash64("text")), F.lit(homes).cast("long"))
-    tagged = keyed.select(home.alias("home"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("places"), "key", "text", "rest").unionByName(
-        places.select("home", F.lit(0).alias("kind"), "places", F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(rest_type).alias("rest"))
+    # rows with a null id have no places: they are spread by text
+    home = F.pmod(F.coalesce(F.col("id").bitwiseXOR(F.col("part")), F.xxhash64("text")), F.lit(homes).cast("long"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("part", "long"), ("text", "string"), ("rest", rest_type))]
+    tagged = keyed.select(home.alias("home"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("places"), "id", "part", "text", "rest").unionByName(
+        places.select("home", F.lit(0).alias("kind"), "places", *none)
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
-        docs = at = None
+        docs = parts = at = None
         for batch in batches:
-            homes_, kinds, places, keys, texts = (batch.column(i) for i in range(5))
+            homes_, kinds, places, ids, parts_, texts = (batch.column(i) for i in range(6))
             keep, out, counts, removed = [], [], [], []
-            for i, (home, kind, key) in enumerate(zip(homes_.to_pylist(), kinds.to_pylist(), keys.to_pylist(), strict=True)):
+            for i, (home, kind, doc, part) in enumerate(zip(homes_.to_pylist(), kinds.to_pylist(), ids.to_pylist(), parts_.to_pylist(), strict=True)):
                 if home != current:
                     current, held, docs = home, [], None
                 if kind == 0:  # all places of a home come before its texts
                     held.append(_places(places[i].as_py()))
                     continue
                 if docs is None:
-                    docs, at = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
-                    order = np.argsort(docs, kind="stable")
-                    docs, at, held = docs[order], at[order], []
-                gone = at[:0] if key is None else at[np.searchsorted(docs, key) : np.searchsorted(docs, key, "right")]
+                    docs, parts, at = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+                    order = np.lexsort((parts, docs))
+                    docs, parts, at, held = docs[order], parts[order], at[order], []
+                gone = at[:0]
+                if doc is not None:
+                    mine = slice(np.searchsorted(docs, doc), np.searchsorted(docs, doc, "right"))
+                    gone = at[mine][np.searchsorted(parts[mine], part) : np.searchsorted(parts[mine], part, "right")]
                 text, n, r = _cut(texts[i].as_py(), gone, window, keep_spacing)
                 keep.append(i)
                 out.append(text)
                 counts.append(n)
                 removed.append(r)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(5).take(pa.array(keep, pa.int64())), pa.array(out, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["rest", "text", "n_words", "n_removed"]
+                [batch.column(6).take(pa.array(keep, pa.int64())), pa.array(out, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["rest", "text", "n_words", "n_removed"]
             )
 
-    ordered = tagged.repartition("home").sortWithinPartitions("home", "kind", "key")
+    ordered = tagged.repartition("home").sortWithinPartitions("home", "kind", "id")
     schema = T.StructType([T.StructField("rest", rest_type), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     done = ordered.mapInArrow(cut, schema)
     columns = [F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in names]
