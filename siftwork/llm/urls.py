@@ -44,10 +44,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: s
 
     Canonical keys of a page are its host suffixes with its path's prefixes of
     the lengths that occur in the tables, so a fitting entry equals one of them.
-    Null urls and those without :// have an empty host and path. Rows with
-    equal or null ids stay separate; an empty table of any kind is allowed.
+    Pages themselves take no part in the joins by key: what is found for a host
+    and path is joined back to its pages, where a hot one can be split. Only
+    ``id_col`` and ``url_col`` are read. Null urls and those without :// have an
+    empty host and path. Rows with equal or null ids stay separate; an empty
+    table of any kind is allowed.
     """
-    spark = prepare(pages.sparkSession)
+    prepare(pages.sparkSession)
     entries = rules.select("host", "path", "verdict", F.lit(True).alias("is_rule")).unionByName(listed.select("host", "path", F.lit("block").alias("verdict"), F.lit(False).alias("is_rule")))
     entries = entries.filter("host is not null and path is not null and host <> ''").distinct()
     keys = entries.withColumn("key", F.concat("host", "path"))
@@ -59,25 +62,22 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: s
 
     bloom = keys.groupBy(block(F.col("key")).alias("block")).agg(F.bit_or(_mask(F.col("key"))).alias("bits"))
     url = F.coalesce(F.col(url_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.monotonically_increasing_id().alias("rid"), host(url).alias("host"), path(url).alias("path"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"))
     labels = F.split("host", r"\.")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in sorted(size["lengths"])] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
+    lengths = F.array(*[F.lit(k) for k in sorted(size["lengths"])]).cast("array<int>")
+    prefixes = F.transform(F.filter(lengths, lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
     candidates = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    none = F.lit("\x00")  # every page has this key, so that none is lost in the joins
-    probes = rows.select("page_id", "rid", "host", "path", F.explode(F.concat(F.array(none), F.when(F.col("host") != "", candidates).otherwise(F.array().cast("array<string>")))).alias("key"))
-    probes = probes.withColumn("block", F.when(F.col("key") == none, F.lit(-1).cast("long")).otherwise(block(F.col("key"))))
-    always = spark.createDataFrame([(-1, -1)], "block long, bits long")
-    bloom = bloom.unionByName(always)
-    possible = probes.join(F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom, "block").filter((F.col("key") == none) | (F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))))
+    probes = rows.filter("host <> ''").select("host", "path", F.explode(candidates).alias("key")).withColumn("block", block(F.col("key")))
+    possible = probes.join(F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom, "block").filter(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
     exact = keys.select("key", F.col("host").alias("of_host"), F.col("path").alias("of_path"), F.col("verdict").alias("said"), "is_rule")
-    exact = exact.unionByName(spark.createDataFrame([("\x00", None, None, None, None)], "key string, of_host string, of_path string, said string, is_rule boolean"))
-    hits = possible.join(F.broadcast(exact) if size["n"] <= BROADCAST_KEYS else exact, "key")
-    suits = F.col("of_host").isNotNull() & (F.col("host").eqNullSafe(F.col("of_host")) | F.endswith(F.col("host"), F.concat(F.lit("."), F.col("of_host")))) & F.startswith(F.col("path"), F.col("of_path"))
-    rule = F.when(suits & F.col("is_rule"), F.struct((-F.length("key")).alias("size"), F.col("key").alias("rule"), F.col("said").alias("said")))
-    best = hits.groupBy("rid", "page_id", "host", "path").agg(F.min(rule).alias("best"), F.coalesce(F.bool_or(suits & ~F.col("is_rule")), F.lit(False)).alias("listed"))
-    return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.said", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+    hits = possible.select("host", "path", "key").distinct().join(F.broadcast(exact) if size["n"] <= BROADCAST_KEYS else exact, "key")
+    suits = ((F.col("host") == F.col("of_host")) | F.endswith(F.col("host"), F.concat(F.lit("."), F.col("of_host")))) & F.startswith(F.col("path"), F.col("of_path"))
+    rule = F.when(F.col("is_rule"), F.struct((-F.length("key")).alias("size"), F.col("key").alias("rule"), F.col("said").alias("said")))
+    best = hits.filter(suits).groupBy("host", "path").agg(F.min(rule).alias("best"), F.bool_or(~F.col("is_rule")).alias("listed"))
+    verdict = F.coalesce("best.said", F.when(F.coalesce("listed", F.lit(False)), "block").otherwise("allow"))
+    return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def default_tables(spark) -> tuple[DataFrame, DataFrame]:
