@@ -7,9 +7,10 @@
    sets agrees with the probability of their Jaccard similarity.
 2. Equal sets collapse to one class (their smallest id); only classes go on.
 3. Bands of ROWS registers are aggregated by value. Every class of a band value
-   is compared with the smallest class there, never with all others; pairs whose
-   collision-corrected estimate is far too low are dropped. Connected classes
-   form a family: classes that might be linked, directly or over others.
+   is compared with the smallest class there, never with all others; those whose
+   collision-corrected estimate is far too low go on with a hub of their own.
+   Connected classes form a family: classes that might be linked, directly or
+   over others.
 4. Families are resolved exactly: a search over full sets finds every component
    and emits a spanning tree, not all pairs. Families over the memory bound are
    cut in blocks, each pair of blocks being searched.
@@ -35,6 +36,8 @@ BANDS = REGISTERS // ROWS
 COLLISION = 2.0 ** -(MANTISSA + 1)
 #: Pairs estimated under this similarity form no family. The standard error of an estimate is 0.03.
 FAMILY = 0.3
+#: Hubs that a band tries.
+ROUNDS = 3
 #: Shingles of a family (or pair of blocks) that a task holds at a time.
 HELD = 3_000_000
 
@@ -108,7 +111,7 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 
 def _estimates(pairs: DataFrame) -> DataFrame:
-    """Keep pairs (u, v, a, b: registers) whose corrected estimate reaches FAMILY."""
+    """(u, v, near): whether the corrected estimate of pairs (u, v, a, b: registers) reaches FAMILY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,10 +119,37 @@ def _estimates(pairs: DataFrame) -> DataFrame:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), REGISTERS) for c in ("a", "b"))
             agree = (a == b).mean(1)
-            keep = (agree - COLLISION) / (1 - COLLISION) >= FAMILY
-            yield batch.select(["u", "v"]).filter(pa.array(keep))
+            near = (agree - COLLISION) / (1 - COLLISION) >= FAMILY
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(near)], ["u", "v", "near"])
 
-    return pairs.mapInArrow(run, "u bigint, v bigint")
+    return pairs.mapInArrow(run, "u bigint, v bigint, near boolean")
+
+
+def _family_links(bands: DataFrame, registers: DataFrame) -> DataFrame:
+    """Links (u, v) that put all classes of a band which might be linked into one family.
+
+    In each band the smallest class is the hub and all others are estimated
+    against it. Those that are far from it are no less near to each other: they
+    form a band of their own with a new hub, and so on; after ROUNDS rounds the
+    rest of a band is linked without an estimate, so no pair that shares a band
+    is lost.
+    """
+    links = None
+    for turn in range(ROUNDS + 1):
+        hubs = bands.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub < last")
+        rows = stored(bands.join(hubs.select("band", "hub"), "band").filter("cls <> hub").select("band", F.col("hub").alias("u"), F.col("cls").alias("v")), "banded")
+        pairs = rows.select("u", "v").distinct()
+        if turn == ROUNDS:
+            return links.unionByName(pairs)
+        pairs = pairs.join(registers.select(F.col("cls").alias("v"), F.col("registers").alias("b")), "v").join(registers.select(F.col("cls").alias("u"), F.col("registers").alias("a")), "u")
+        judged = stored(_estimates(pairs.select("u", "v", "a", "b")), "estimates")
+        near = judged.filter("near").select("u", "v")
+        links = near if links is None else links.unionByName(near)
+        far = judged.filter("not near").select("u", "v")
+        if far.isEmpty():
+            return links
+        bands = rows.join(far, ["u", "v"], "left_semi").select("band", F.col("v").alias("cls"))
+    return links
 
 
 def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -217,11 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # classes of fewer than 4 shingles can only reach 0.75 against a different set
     wide = classes if percent < 80 else classes.filter("n_shingles >= 4")
     bands = stored(_bands(wide), "bands")
-    hubs = bands.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub < last")
-    pairs = bands.join(hubs.select("band", "hub"), "band").filter("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v")).distinct()
-    regs = classes.select("cls", "registers")
-    pairs = pairs.join(regs.select(F.col("cls").alias("v"), F.col("registers").alias("b")), "v").join(regs.select(F.col("cls").alias("u"), F.col("registers").alias("a")), "u")
-    families = components(_estimates(pairs.select("u", "v", "a", "b")))
+    families = components(_family_links(bands, classes.select("cls", "registers")))
 
     # a class of several ids with equal text: one row stands for it
     texts = docs.select(F.col(id_col).cast("long").alias("cls"), F.col(text_col).alias("text"))
