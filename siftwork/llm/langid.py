@@ -13,19 +13,28 @@ from pyspark.sql import functions as F
 from siftwork.llm import kernels as K
 from siftwork.session import prepare
 
-#: Character n-gram lengths and hash buckets: the model has at most classes x 2**BITS float32 numbers.
+#: Character n-gram lengths and hash bits.
 GRAMS = (1, 2, 3)
 BITS = 16
+#: Numbers in the broadcast matrix (16 MB): with more languages than it has room for at BITS bits, grams are hashed to fewer buckets.
+MOST_WEIGHTS = 1 << 22
 #: In a score, the evidence of a text counts as that of so many n-grams at most, so that scores stay apart from 1.
 EVIDENCE = 200.0
-#: More languages than this would make the broadcast matrix exceed 64 MB.
-MOST_LANGUAGES = 256
+#: Characters of a text hashed as one piece, and characters scored at a time.
+PIECE, BATCH = 1 << 18, 1 << 18
 
 
-def gram_buckets(text: str) -> np.ndarray:
-    """Bucket of every character n-gram of the lower-cased text padded with a blank at each end."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out = []
+def bits_for(languages: int) -> int:
+    return max(1, min(BITS, MOST_WEIGHTS.bit_length() - 1 - max(0, languages - 1).bit_length()))
+
+
+def gram_buckets(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every character n-gram of the lower-cased texts, each padded with a blank at both ends."""
+    padded = [f" {t.lower()} " for t in texts]
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
+    row = np.repeat(np.arange(len(padded), dtype=np.int32), lengths)
+    rows, out = [], []
     for n in GRAMS:
         if len(points) < n:
             continue
@@ -35,8 +44,28 @@ def gram_buckets(text: str) -> np.ndarray:
             key |= points[j : len(points) - n + 1 + j]
         key += np.uint64(n << 60)
         key *= np.uint64(0x9E3779B97F4A7C15)
-        out.append((key >> np.uint64(64 - BITS)).astype(np.int32))
-    return np.concatenate(out)
+        bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
+        same = row[: len(bucket)] == row[n - 1 :]  # a gram lies in one text
+        rows.append(row[: len(bucket)][same])
+        out.append(bucket[same])
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts with a letter in pieces, with their rows, about BATCH characters at a time."""
+    rows, some, held = [], [], 0
+    for i, t in enumerate(texts):
+        if not K.has_letter(t):
+            continue
+        for low in range(0, len(t), PIECE):
+            rows.append(i)
+            some.append(t[low : low + PIECE])
+            held += len(some[-1])
+            if held >= BATCH:
+                yield rows, some
+                rows, some, held = [], [], 0
+    if some:
+        yield rows, some
 
 
 @dataclass
@@ -47,49 +76,83 @@ class Model:
     prior: np.ndarray
     weight: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not K.has_letter(text):
-            return "und", 0.0
-        total, grams, step = np.zeros(len(self.languages)), 0, 1 << 18
-        for low in range(0, len(text), step):  # long texts in pieces, all of them
-            buckets = gram_buckets(text[low : low + step])
-            grams += len(buckets)
-            if len(buckets) > 4096:
-                seen = np.bincount(buckets, minlength=1 << BITS)
-                total += seen.astype(np.float64) @ self.weight
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood of each text by language, and its number of n-grams; 0 n-grams for a text without a letter.
+
+        A batch of texts is one sparse matrix of (text, bucket, count), whose
+        rows are multiplied with the weights and summed.
+        """
+        bits = len(self.weight).bit_length() - 1
+        total, grams = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        for rows, some in _pieces(texts):
+            row, bucket = gram_buckets(some, bits)
+            cell = (row.astype(np.int64) << bits) | bucket
+            if len(some) << bits <= 1 << 22:  # few texts: counted in place
+                counts = np.bincount(cell, minlength=0)
+                cell = np.flatnonzero(counts)
+                counts = counts[cell]
             else:
-                total += self.weight[buckets].sum(0, dtype=np.float64)
-        best = int(np.argmax(self.prior + total))  # of the whole text; ties: the first name
-        x = self.prior + total * min(1.0, EVIDENCE / max(grams, 1))
-        x = np.exp(x - x.max())
-        return self.languages[best], float(x[best] / x.sum())
+                cell, counts = np.unique(cell, return_counts=True)
+            row, bucket = cell >> bits, cell & ((1 << bits) - 1)
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            of = np.array(rows)[row[first]]
+            for x in range(len(self.languages)):  # one language at a time: working arrays of one number a cell
+                np.add.at(total[:, x], of, np.add.reduceat(self.weight[bucket, x] * counts, first))
+            np.add.at(grams, of, np.add.reduceat(counts, first))
+        return total, grams
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and fit of each text.
+
+        The language is the likeliest by the whole text; ties go to the first
+        name. ``fit`` is by how much (in nats an n-gram) it explains the text
+        better than a model to which all n-grams are alike: at 0 or less the
+        text is in none of the languages.
+        """
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        total, grams = self.scores(texts)
+        known = grams > 0
+        best = np.argmax(self.prior + total, axis=1)
+        at = np.arange(len(texts))
+        x = self.prior + total * np.minimum(1.0, EVIDENCE / np.maximum(grams, 1))[:, None]
+        x = np.exp(x - x.max(axis=1, keepdims=True))
+        fit = total[at, best] / np.maximum(grams, 1) + np.log(len(self.weight))
+        names = [self.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+        return names, np.where(known, x[at, best] / x.sum(axis=1), 0.0), np.where(known, fit, 0.0)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.5) -> Model:
     """Fit on every row with a text and a label.
 
     Tasks count n-grams of their rows in numpy and emit one row for each
-    (language, bucket) seen; Spark sums them. The driver receives classes x
-    2**BITS sums at most, whatever the corpus. No labelled row: no language.
+    (language, bucket) seen; Spark sums them. The driver receives MOST_WEIGHTS
+    sums at most, whatever the corpus and the number of languages. No labelled
+    row with a letter: no language.
     """
     prepare(labelled.sparkSession)
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
+    bits = bits_for(rows.select(F.count_distinct("lang")).first()[0])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
-            for t, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                t = t.as_py()
-                if not K.has_letter(t):
-                    continue
-                if name not in sums:
-                    if len(sums) >= MOST_LANGUAGES:
-                        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-                    sums[name] = np.zeros(1 << BITS, np.int64)
-                docs[name] = docs.get(name, 0) + 1
-                for low in range(0, len(t), 1 << 18):
-                    sums[name] += np.bincount(gram_buckets(t[low : low + (1 << 18)]), minlength=1 << BITS)
+            for low, high in K.pieces(batch.column(0)):
+                texts, names = batch.column(0).slice(low, high - low).to_pylist(), batch.column(1).slice(low, high - low).to_pylist()
+                code = {n: i for i, n in enumerate(dict.fromkeys(names))}
+                for t, n in zip(texts, names, strict=True):
+                    if K.has_letter(t):
+                        docs[n] = docs.get(n, 0) + 1
+                        if n not in sums:
+                            sums[n] = np.zeros(1 << bits, np.int64)
+                of = np.array([code[n] for n in names])
+                for at, some in _pieces(texts):
+                    row, bucket = gram_buckets(some, bits)
+                    lang_of = of[np.array(at)][row]
+                    for n, i in code.items():
+                        if n in sums:
+                            sums[n] += np.bincount(bucket[lang_of == i], minlength=1 << bits)
         for name, seen in sums.items():
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays(
@@ -98,39 +161,66 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", smoothing:
             )
 
     counted = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counted.toPandas()
-    languages = sorted(found["lang"].unique())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    weight, prior = np.zeros((1 << BITS, len(languages)), np.float32), np.zeros(len(languages))
-    for i, name in enumerate(languages):
-        mine = found[found["lang"] == name]
-        grams = mine[mine["bucket"] >= 0]
-        seen = np.full(1 << BITS, smoothing)
-        seen[grams["bucket"].to_numpy()] += grams["n"].to_numpy()
-        weight[:, i] = np.log(seen / seen.sum())
-        prior[i] = np.log(mine.loc[mine["bucket"] < 0, "n"].sum())
-    return Model(languages, prior, weight)
-
-
-def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Append lang_pred and score (0 to 1) to every row; earlier columns of these names are replaced.
+    found = counted.toArrow()
+    names = found.column("lang").combine_chunks().dictionary_encode() if len(found) else None
+    if names is None:
+        return Model([], np.zeros(0), np.zeros((1 << bits, 0), np.float32))
+    listed = names.dictionary.to_pylist() if not isinstance(names, pa.ChunkedArray) else names.chunk(0).dictionary.to_pylist()
+    place = np.argsort(np.array(listed, object), kind="stable")
+    rank = np.empty(len(listed), np.int64)
+    rank[place] = np.arange(len(listed))
+    indices = names.indices if not isinstance(names, pa.ChunkedArray) else names.chunk(0).indices
+    lang_of, bucket, n = rank[indices.to_numpy()], found.column("bucket").to_numpy(), found.column("n").to_numpy()
+    grams = bucket >= 0
+    seen = np.full((1 << bits, len(listed)), smoothing)
+    seen[bucket[grams], lang_of[grams]] += n[grams]
+    prior = np.zeros(len(listed))
+    prior[lang_of[~grams]] = np.log(n[~grams])
+    return Model([listed[i] for i in place], prior, np.log(seen / seen.sum(0)).astype(np.float32))
+
+
+def predict(df: DataFrame, model: Model, text: str = "text", fit_col: str | None = None) -> DataFrame:
+    """Append lang_pred and score (0 to 1) to every row, with ``fit_col`` the fit under that name too; earlier columns of these names are replaced.
 
     Null texts and texts without a letter get 'und' and 0; so does every row
     when the model has seen no language. Ties go to the first name in order.
     """
     spark = prepare(df.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # classes x 2**BITS float32: bounded by MOST_LANGUAGES
+    shared = spark.sparkContext.broadcast(model)  # MOST_WEIGHTS float32 at most
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, fit double")
     def guess(texts):
         import pandas as pd
 
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(dict(zip(("lang_pred", "score", "fit"), shared.value.predict(texts.where(texts.notna(), None).tolist()), strict=True)))
+
+    added = ["lang_pred", "score", *([fit_col] if fit_col else [])]
+    kept = [c for c in df.columns if c.lower() not in [a.lower() for a in added]]
+    name = fresh(kept, "guess")
+    out = df.select(*[F.col(f"`{c}`") for c in kept], guess(F.col(f"`{text}`")).alias(name))
+    return out.select(*[F.col(f"`{c}`") for c in kept], f"{name}.lang_pred", f"{name}.score", *([F.col(f"{name}.fit").alias(fit_col)] if fit_col else []))
+
+
+def recognised(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose text has a letter and is better explained by one of the languages than by chance (``fit`` above 0)."""
+    spark = prepare(df.sparkSession)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(texts):
+        import pandas as pd
+
+        names, _, fits = shared.value.predict(texts.where(texts.notna(), None).tolist())
+        return pd.Series([n != "und" for n in names]) & pd.Series(fits > 0)
+
+    return df.filter(known(F.col(f"`{text}`")))
+
 
-    kept = [c for c in df.columns if c.lower() not in ("lang_pred", "score", "_guess")]
-    out = df.select(*[F.col(f"`{c}`") for c in kept], guess(F.col(text)).alias("_guess"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], "_guess.lang_pred", "_guess.score")
+def fresh(taken: list[str], name: str) -> str:
+    """A column name like this one that is not taken."""
+    while name.lower() in [c.lower() for c in taken]:
+        name += "_"
+    return name
 
 
 def lettered(df: DataFrame, text: str = "text") -> DataFrame:
@@ -141,4 +231,4 @@ def lettered(df: DataFrame, text: str = "text") -> DataFrame:
     def has(texts):
         return texts.map(K.has_letter).astype(bool)
 
-    return df.filter(has(F.col(text)))
+    return df.filter(has(F.col(f"`{text}`")))
