@@ -14,8 +14,8 @@ from siftwork.llm import kernels as K
 from siftwork.session import prepare
 
 BITS = 128
-#: Characters of text in a range of consecutive documents.
-RANGE_CHARS = 16_000_000
+#: Characters of text in a range of consecutive documents, and the most ranges: of a larger corpus, ranges get longer.
+RANGE_CHARS, MOST_RANGES = 16_000_000, 100_000
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2) - 1
 
 
@@ -95,7 +95,7 @@ def edit_probes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     size = rows.agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
     if not size["rows"]:
         return spark.createDataFrame([], schema)
-    ranges = min(max(1, -(-(size["n"] or 0) // RANGE_CHARS)), 20_000)
+    ranges = min(max(1, -(-(size["n"] or 0) // RANGE_CHARS)), MOST_RANGES)
     cuts = [i / ranges for i in range(1, ranges)]
     found = rows.agg(F.percentile_approx("place", cuts, max(10_000, 4 * ranges)).alias("c")).first()["c"] if cuts else []
     bounds = np.unique(np.array(found or [], np.int64))
@@ -150,22 +150,37 @@ def _probe(ids: list[int | None], texts: list[str], nexts: list[str]) -> pa.Reco
 
 
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
-    """(query_id, doc_id, distance) of all fingerprints within ``radius`` bits of each query, itself aside.
+    """(q, p, distance): all fingerprints p of ``prints`` within ``radius`` bits of each fingerprint q of ``queries``, both distinct.
 
-    Both tables have doc_id and fingerprint (hex). The bits are cut in radius + 1
-    blocks; one of them is equal in any two fingerprints within the radius, so a
-    table permuted by each block in turn and joined on it finds all of them. Equal
-    fingerprints are joined once and expanded at the end. Null fingerprints match nothing.
+    Both tables have fingerprint (hex); rows with equal ones are one, so copies
+    are not expanded to pairs. The bits are cut in radius + 1 blocks; one of
+    them is equal in any two fingerprints within the radius, so a table permuted
+    by each block in turn and joined on it finds all of them, and a pair counts
+    in the first block that it shares. Null fingerprints match nothing.
     """
     digits = BITS // 4
     cuts = [round(i * digits / (radius + 1)) for i in range(radius + 2)]
+    spans = list(zip(cuts, cuts[1:], strict=False))
 
     def tables(df: DataFrame, name: str) -> DataFrame:
-        blocks = F.array(*[F.concat(F.lit(f"{i}:"), F.substring("fingerprint", a + 1, b - a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+        blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("fingerprint", a + 1, b - a).alias("bits")) for i, (a, b) in enumerate(spans)])
         return df.select("fingerprint").filter("fingerprint is not null").distinct().select(F.col("fingerprint").alias(name), F.explode(blocks).alias("block"))
 
     halves = [(1 + 8 * i, 8) for i in range(digits // 8)]
     apart = sum((F.bit_count(F.conv(F.substring("q", a, n), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("p", a, n), 16, 10).cast("long"))) for a, n in halves), F.lit(0))
-    near = tables(queries, "q").join(tables(prints, "p"), "block").select("q", "p").distinct().withColumn("distance", apart).filter(F.col("distance") <= radius)
-    out = near.join(queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("q")), "q").join(prints.select("doc_id", F.col("fingerprint").alias("p")), "p")
-    return out.filter(~F.col("query_id").eqNullSafe(F.col("doc_id"))).select("query_id", "doc_id", F.col("distance").cast("long").alias("distance"))
+    shared = F.coalesce(*[F.when(F.substring("q", a + 1, b - a) == F.substring("p", a + 1, b - a), F.lit(i)) for i, (a, b) in enumerate(spans)])
+    near = tables(queries, "q").join(tables(prints, "p"), "block").filter(F.col("block.i") == shared).withColumn("distance", apart.cast("long"))
+    return near.filter(F.col("distance") <= radius).select("q", "p", "distance")
+
+
+def neighbours(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, n_within, nearest) per row of ``queries``: how many rows of ``prints`` lie within ``radius`` bits, itself aside, and the least distance (null: none).
+
+    ``queries`` are rows of ``prints`` (doc_id, fingerprint). Rows of one
+    fingerprint are counted, not paired.
+    """
+    sizes = prints.groupBy(F.col("fingerprint").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    found = within_radius(prints, queries, radius).join(sizes, "p")
+    others = F.col("n") - F.when(F.col("distance") == 0, 1).otherwise(0)
+    found = found.groupBy(F.col("q").alias("fingerprint")).agg(F.sum(others).alias("n_within"), F.min(F.when(others > 0, F.col("distance"))).alias("nearest"))
+    return queries.join(found, "fingerprint", "left").select("doc_id", "fingerprint", F.coalesce("n_within", F.lit(0).cast("long")).alias("n_within"), "nearest")

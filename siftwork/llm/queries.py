@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm import chat, decontamination, fingerprints, langid, licenses, neardup, packing, substrings, token_files, urls
-from siftwork.session import prepare, table
+from siftwork.session import prepare, stored, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -18,7 +18,11 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edit_probes(table(spark, sf_dir, "documents"))
+    """The probes of every document, and for ids divisible by 100 the search within 3 bits over all documents: n_within and nearest (null for other ids)."""
+    probes = stored(fingerprints.edit_probes(table(spark, sf_dir, "documents")), "fingerprints")
+    asked = probes.filter("doc_id % 100 = 0").select("doc_id", "fingerprint").distinct()
+    found = fingerprints.neighbours(probes.select("doc_id", "fingerprint"), asked)
+    return probes.join(found, ["doc_id", "fingerprint"], "left").select(*probes.columns, "n_within", "nearest")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
