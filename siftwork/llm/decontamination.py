@@ -45,9 +45,9 @@ def joined(data: np.ndarray, spans: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 @dataclass
 class Index:
-    """Items of one block: shingle length, shingle hashes and texts; sketch hashes by shingle length."""
+    """Items of one block: shingle length, shingle hashes, first word of each, the words and their places; sketch hashes by shingle length."""
 
-    items: list[tuple[int | None, int, np.ndarray, list[bytes]]] = field(default_factory=list)
+    items: list[tuple[int | None, int, np.ndarray, np.ndarray, bytes, np.ndarray]] = field(default_factory=list)
     sketches: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     needs: list[int] = field(default_factory=list)
 
@@ -63,9 +63,8 @@ def build(ids: list[int | None], texts: pa.Array, words: int, percent: int) -> I
         k = min(words, len(mine))
         found, at = np.unique(K.shingles(mine, k), return_index=True)
         text, place = joined(data, spans[first[i] : first[i + 1]])
-        shingles = [text[place[j] : place[j + k] - 1] for j in at]
         parts[k, int(len(found)).bit_length()].append(len(index.items))
-        index.items.append((item, k, found, shingles))
+        index.items.append((item, k, found, at, text, place.astype(np.int32)))
         index.needs.append(-(-percent * len(found) // 100))
     sketches: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
     for (k, _), members in parts.items():
@@ -107,18 +106,32 @@ def search(index: Index, texts: pa.Array, percent: int) -> Iterator[tuple[int, i
             own, where = np.unique(grams[first[r] : first[r + 1] - k + 1], return_index=True)
             text = place = None
             for m in sorted(candidates):
-                _, _, item, shingles = index.items[m]
+                _, _, item, start, words, at_word = index.items[m]
                 spot = np.minimum(np.searchsorted(own, item), len(own) - 1)
                 same = np.flatnonzero(own[spot] == item)
                 if len(same) < index.needs[m]:
                     continue
                 if text is None:
                     text, place = joined(data, spans[first[r] : first[r + 1]])
-                shared = sum(text[place[w] : place[w + k] - 1] == shingles[j] for j, w in zip(same, where[spot[same]], strict=True))
+                begin, end = at_word[start[same]], at_word[start[same] + k] - 1
+                shared = sum(text[place[w] : place[w + k] - 1] == words[x:y] for x, y, w in zip(begin, end, where[spot[same]], strict=True))
                 if shared >= index.needs[m]:
                     yield int(r), m, shared
 
 
+def _indexes(items: DataFrame, item_id: str, item_text: str, words: int, percent: int) -> list:
+    """Broadcast indexes of all items, BLOCK_BYTES of text each."""
+    spark = prepare(items.sparkSession)
+    tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("text is not null")
+    size = tests.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = int(-(-size // BLOCK_BYTES)) or 1
+    out = []
+    for b in range(blocks):
+        held = (tests if blocks == 1 else tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)).toArrow()
+        out.append(spark.sparkContext.broadcast(build(held.column(0).to_pylist(), held.column(1), words, percent)))
+    return out
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) of every document holding enough of an item.
 
@@ -126,20 +139,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     item's distinct shingles of ``words`` words (an item with fewer words is one
     shingle) must occur in the document to ``percent`` at least. Items and
     documents without words match nothing. Rows with null or repeated ids count
-    as rows of their own. Items are broadcast in blocks of BLOCK_BYTES of text,
-    each block searched in a pass of its own over all documents.
+    as rows of their own; only the four named columns are read. Items are
+    broadcast in blocks of BLOCK_BYTES of text, each block searched in a pass of
+    its own over all documents.
     """
-    spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("text is not null")
-    size = tests.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = int(-(-size // BLOCK_BYTES)) or 1
     schema = "doc_id bigint, item_id bigint, n_item_shingles bigint, n_shared bigint, containment double"
     out = None
-    for b in range(blocks):
-        block = tests if blocks == 1 else tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        held = block.toArrow()
-        index = spark.sparkContext.broadcast(build(held.column(0).to_pylist(), held.column(1), words, percent))
+    for index in _indexes(items, item_id, item_text, words, percent):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -158,3 +165,25 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, whole, that hold enough of no item, as :func:`contaminated` finds it.
+
+    Each row is judged by its own text while it passes, whatever its id, so
+    nothing is joined; blocks of items are filters one behind the other.
+    """
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+    out = docs
+    for index in _indexes(items, item_id, item_text, words, percent):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for low, high in K.pieces(whole.column(at)):
+                    batch = whole.slice(low, high - low)
+                    keep = np.ones(len(batch), bool)
+                    keep[[r for r, _, _ in search(index.value, batch.column(at), percent)]] = False
+                    yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
