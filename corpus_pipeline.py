@@ -11,53 +11,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm import decontamination, langid, neardup, packing, substrings
+from siftwork.llm.langid import fresh
 from siftwork.llm.queries import tokenizer_file
-from siftwork.session import stored, table
+from siftwork.session import mark, release, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects null texts and texts without a letter, and nothing else: every other text has some likeliest language.
+    """Rejects null texts, texts without a letter, and texts that no learned language explains better than chance.
 
-    Where no row with a letter has a label, no language is learned and the letter alone decides.
+    The model learns from the labelled rows of ``docs``. Where no row with a
+    letter has a label, no language is learned and the letter alone decides.
     """
     model = langid.fit(docs)
-    if not model.languages:
-        return langid.lettered(docs)
-    return langid.predict(docs, model).filter("lang_pred <> 'und'").select(*docs.columns)
+    return langid.recognised(docs, model) if model.languages else langid.lettered(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates stays: one with the smallest id. Rows with a null id all stay."""
-    ids = docs.filter("doc_id is not null").groupBy("doc_id").count()
-    if ids.filter("count > 1").isEmpty():
-        classes = neardup.near_duplicates(docs, shingle_words=5).select(F.col("doc_id").alias("_id"), "kept").distinct()
-        return docs.join(classes.filter("kept"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    # ids repeat: rows are told apart by a number, and each group keeps its least (id, number)
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    known = rows.filter("doc_id is not null").select("_row", "doc_id", "text")
-    classes = neardup.near_duplicates(known, id_col="_row", shingle_words=5).select("component_id", F.col("doc_id").alias("_row"))
-    order = F.struct("doc_id", "_row")
-    classes = stored(classes.join(known.select("_row", "doc_id"), "_row"), "numbered-classes")
-    least = classes.groupBy("component_id").agg(F.min(order)["_row"].alias("_least"))
-    gone = classes.join(least, "component_id").filter("_row <> _least").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates stays: one with the smallest id.
+
+    Where ids are null or repeat, rows are told apart by a number; each group
+    keeps its least (id, number), a null id counting as the largest.
+    """
+    row, cls = fresh(docs.columns, "_row"), fresh(docs.columns, "_cls")
+    ids = docs.groupBy("doc_id").count()
+    if ids.filter("count > 1 or doc_id is null").isEmpty():
+        classes = neardup.near_duplicates(docs.select("doc_id", "text"), shingle_words=5).filter("kept").select(F.col("doc_id").alias(cls))
+        return docs.join(classes, docs["doc_id"] == F.col(cls), "left_semi")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    known = rows.select(F.col(row).alias("row"), "doc_id", "text")
+    classes = neardup.near_duplicates(known, id_col="row", shingle_words=5).select("component_id", F.col("doc_id").alias("row"))
+    classes = stored(classes.join(known.select("row", "doc_id"), "row"), "numbered-classes")
+    least = classes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))["row"].alias("least"))
+    gone = classes.join(least, "component_id").filter("row <> least").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts what an earlier document holds already; documents of which nothing is left go."""
-    cut = substrings.without_repeats(docs, keep_spacing=True).filter("n_removed < n_words or n_words = 0")
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Cuts what an earlier document holds already; documents of which nothing is left go. Rows with a null id stay as they are."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    cut = substrings.without_repeats(docs.select("doc_id", "text", others.alias("row")), keep_spacing=True).filter("n_removed < n_words or n_words = 0")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaks, docs["doc_id"] == F.col("_id"), "left_anti")
+    """Rows that hold a benchmark item go, each judged by its own text."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
-    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), 0, with_ids=False)
+    """Pieces of documents, with their tokens, in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), 0, with_ids=True)
 
 
 STAGES = [
@@ -73,7 +77,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's intermediate tables are deleted when its output is written, and that when the next one's is."""
+    docs, begin = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, since=begin, keep=1)
     return docs
