@@ -73,7 +73,7 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     """(conv_id, turn, place, rendered, loss_start, loss_end) per row of ``turns``, verified by parsing.
 
     The rendered conversation is the concatenation of its rows by turn and
-    ``place`` (ties: role, then text). The loss span, in code points of
+    ``place`` (the role; ties: by the rendered turn). The loss span, in code points of
     ``rendered``, is the text of turns with role ``trained``, else empty. Null
     roles and texts are empty; null conversation ids form one conversation; an
     empty table gives an empty result.
