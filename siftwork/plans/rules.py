@@ -2,7 +2,7 @@
 
 Each rule is (id, severity, SQL): the SQL yields the subjects that break it.
 Tables are named in braces and described in :mod:`siftwork.plans.validation`.
-``portable(x)``, ``blank(x)`` and ``kind(v)`` are written out by the engine.
+``portable(x)`` and ``blank(x)`` are written out by the engine.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ RULES: list[tuple[str, str, str]] = [
     ("V71", "error", "SELECT shown subject FROM {labels} WHERE is_object AND NOT evidence_ok"),
     ("V72", "error", later("labels", "evidence_key", "pos", "evidence_ok")),
     ("V73", "error", "SELECT shown subject FROM {labels} WHERE is_object AND NOT features_ok"),
-    ("V74", "error", "SELECT shown subject FROM {labels} WHERE normal(composition) <> '' AND normal(composition) = normal(shot_and_subject_ratio)"),
+    ("V74", "error", "SELECT shown subject FROM {labels} WHERE composition_key <> '' AND composition_key = ratio_key"),
     ("V75", "error", later("labels", "observation_key", "pos", "observation_key IS NOT NULL")),
     ("V76", "error", "SELECT name subject FROM {formal} f LEFT ANTI JOIN (SELECT name FROM {labels} WHERE portable(file)) l USING (name) WHERE (SELECT bool_or(is_items) FROM {label_doc})"),
     ("V77", "error", "SELECT DISTINCT l.name subject FROM (SELECT name FROM {labels} WHERE portable(file)) l LEFT ANTI JOIN {formal} f USING (name)"),

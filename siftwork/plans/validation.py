@@ -157,7 +157,7 @@ def tables(files: DataFrame, texts: DataFrame, reviewed: bool = True, card_color
     observed = [T.normalized(F.col(c)) for c in R.OBSERVED]
     complete = F.forall(F.array(*observed), lambda s: s != "")
     out["labels"] = items.select(
-        "*", T.base_name(F.col("file")).alias("name"), F.when(complete, F.to_json(F.array(*observed))).alias("observation_key"),
+        "*", T.normalized(F.col("composition")).alias("composition_key"), T.normalized(F.col("shot_and_subject_ratio")).alias("ratio_key"), T.base_name(F.col("file")).alias("name"), F.when(complete, F.to_json(F.array(*observed))).alias("observation_key"),
         F.when(T.is_blank(F.col("asset_id")), F.format_string("item %d", F.col("pos") + 1)).otherwise(F.col("asset_id")).alias("shown"),
     )
     reports = [_document(texts, one, f"分析/{n}.json").select(F.lit(n).alias("name"), "state", F.to_json(v).isin("{}", "[]", "null").alias("is_empty")) for n in ("媒体检测结果", "去重与筛选记录")]
@@ -199,13 +199,12 @@ def tables(files: DataFrame, texts: DataFrame, reviewed: bool = True, card_color
 
 _CALLS = {
     "blank": lambda x: f"(NOT coalesce({x} RLIKE r'\\S', false))",
-    "normal": lambda x: f"replace(lower(coalesce(trim(regexp_replace({x}, r'\\s+', ' ')), '')), 'ß', 'ss')",
     "portable": lambda x: f"({x} RLIKE r'\\S' AND NOT contains({x}, r'\\') AND NOT {x} RLIKE '^[A-Za-z]:' AND NOT startswith({x}, '/') AND NOT array_contains(split({x}, '/'), '..'))",
 }
 
 
 def _expand(sql: str) -> str:
-    return re.sub(r"\b(blank|normal|portable)\(([^()]+)\)", lambda m: _CALLS[m[1]](m[2]), sql)
+    return re.sub(r"\b(blank|portable)\(([^()]+)\)", lambda m: _CALLS[m[1]](m[2]), sql)
 
 
 def materialised(tables_: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from siftwork import acceptance
 from siftwork import queries as Q
 
 DIR = "/root/testdata/sf0.001"
@@ -33,6 +34,21 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", sorted(acceptance.queries()))
+def test_planted_defects_are_reported_and_nothing_else(spark, duck, name):
+    got, want = acceptance.queries()[name](spark, DIR).toPandas(), duck.sql(acceptance.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(want)
+    assert rows(got) == rows(want)
+
+
+def test_every_rule_fires_in_some_collection(duck):
+    from siftwork.plans import rules as R
+
+    names = [n for n in acceptance.oracle_sql() if n not in ("acceptance_report", "acceptance_checks")]
+    seen = {r for n in names for (r,) in duck.sql(f"SELECT DISTINCT rule FROM ({acceptance.oracle_sql()[n]})").fetchall()}
+    assert {r[0] for r in R.RULES} - seen == {"V50"}  # an active video is always processed and included
+
+
 @pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql())))
 def test_other_queries_run(spark, name):
     assert Q.queries()[name](spark, DIR).count() > 0

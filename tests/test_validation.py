@@ -144,7 +144,9 @@ DEFECTS = [
 #: These make a whole document unreadable, so each needs a collection of its own.
 ALONE = ("V5", "V9", "V25", "V28", "V62", "V79", "V86", "V92", "V96", "V97", "V98", "V102", "V82", "V29", "V39", "V67", "V112")
 SHARED = [d for d in DEFECTS if d[0] not in ALONE]
-GROUPED = [SHARED[i::9] for i in range(9)] + [[d] for d in DEFECTS if d[0] in ALONE]
+#: These take away what others need (the video, a group, a label, the text of a document), so they come in collections of their own too.
+APART = ("V19", "V76", "V103", "V121")
+GROUPED = [[d for d in SHARED[i::9] if d[0] not in APART] for i in range(9)] + [[d] for d in DEFECTS if d[0] in ALONE + APART]
 
 
 @pytest.mark.parametrize("defects", GROUPED, ids=["-".join(r for r, _ in g) for g in GROUPED])
