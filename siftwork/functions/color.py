@@ -140,6 +140,10 @@ def hue_targets(text: Column) -> Column:
     return F.array_compact(F.array(*hits))
 
 
+def _of(family: str):
+    return lambda x: x["family"] == family
+
+
 def accent_targets(text: Column) -> Column:
     """array of struct(family, hue): families that share a clause with an accent word, by the least distance between the two.
 
@@ -155,6 +159,6 @@ def accent_targets(text: Column) -> Column:
         return F.array(*[F.struct(apart(words).alias("apart"), F.lit(family).alias("family"), F.lit(hue).alias("hue")) for family, words, hue in HUE_FAMILIES])
 
     found = F.filter(F.flatten(F.transform(F.split(text, "[，。；;]"), pairs)), lambda x: x["apart"].isNotNull())
-    nearest = {family: F.array_min(F.filter(found, lambda x, f=family: x["family"] == f)) for family, _, _ in HUE_FAMILIES}
+    nearest = {family: F.array_min(F.filter(found, _of(family))) for family, _, _ in HUE_FAMILIES}
     nearest["青"] = F.when(nearest["蓝"].isNull() | (nearest["青"] < nearest["蓝"]), nearest["青"])
     return F.transform(F.array_sort(F.array_compact(F.array(*nearest.values()))), lambda x: F.struct(x["family"].alias("family"), x["hue"].alias("hue")))

@@ -18,9 +18,15 @@ WINDOWS_PRIVATE = r"""(?i)[A-Z]:\\(?:Users|Documents and Settings)\\[^\\\s"']+(?
 UNIX_PRIVATE = r"""/(?:Users|home)/[^/\s]+(?:/[^\s"']*)?"""
 
 
+#: Characters whose case-folded form is not their lower case, from Python's own Unicode tables; capital sigma, whose lower case depends on its place.
+_FOLDS = {chr(c): chr(c).casefold() for c in range(0x80, 0x1F000) if chr(c).casefold() != chr(c).lower()} | {"Σ": "σ"}
+
+
 def casefold(x: Column) -> Column:
-    """Lower case with sharp s unfolded; the order key of names. Other special foldings are left out."""
-    return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, and the special foldings character by character in texts that need any."""
+    table = F.create_map(*[F.lit(y) for pair in _FOLDS.items() for y in pair])
+    folded = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c))), "")
+    return F.when(x.rlike("[" + "".join(_FOLDS) + "]"), folded).otherwise(F.lower(x))
 
 
 def normalized(x: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.operators.quality import numbered
+
 
 def page_count(items: Column, columns: int, rows: int) -> Column:
     return F.ceil(items / (columns * rows)).cast("int")
@@ -14,10 +16,8 @@ def place(items: DataFrame, sheet: list[str], order: list, columns: int = 5, row
     """Add n_items, pages, page, row, column (from 0), x and y of each item on its sheet."""
     columns, rows = min(8, max(1, columns)), min(20, max(1, rows))
     width, height = max(120, width), max(90, height)
-    w = Window.partitionBy(*sheet)
-    i = F.row_number().over(w.orderBy(*order)) - 1
     each = columns * rows
-    placed = items.withColumn("_i", i).withColumn("n_items", F.count(F.lit(1)).over(w))
+    placed = numbered(items, sheet, [F.col(c) if isinstance(c, str) else c for c in order], "_i", "n_items").withColumn("_i", F.col("_i") - 1)
     row, column = F.floor(F.col("_i") % each / columns).cast("int"), (F.col("_i") % columns).cast("int")
     return (
         placed.withColumn("pages", page_count(F.col("n_items"), columns, rows))

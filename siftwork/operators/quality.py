@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import text as T
+from siftwork.session import stored
 
 # File kinds by extension.
 IMAGES = (".jpg", ".jpeg", ".png", ".webp", ".tif", ".tiff", ".bmp")
@@ -37,22 +38,26 @@ def is_generated(name: Column) -> Column:
     return F.greatest(*[name.contains(x) for x in GENERATED_MARKS]) | name.startswith(GENERATED_PREFIX)
 
 
-def numbered(df: DataFrame, partition: list[str], order: list[Column], name: str = "n") -> DataFrame:
-    """Running number from 1 within a partition, dealt by range so that a large partition is not sorted in one task.
+def numbered(df: DataFrame, partition: list[str], order: list, name: str = "n", total: str | None = None) -> DataFrame:
+    """Running number from 1 within a partition (and with ``total`` its size), dealt by range so that a large partition is not sorted in one task.
 
-    Rows are ordered by (partition, order) over all tasks, counted in each, and the
-    counts before each task are added: one row per task and partition key is joined back.
+    Rows are ordered by (partition, order) over all tasks and written, so that a
+    row keeps its range; they are counted in each range, and the counts before
+    it are added: one row per range and partition key is joined back.
     """
     keys = [F.col(c) for c in partition]
     ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    ranged = stored(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "ranged")
     local = Window.partitionBy("_part", *keys).orderBy("_row")
     counted = ranged.withColumn("_local", F.row_number().over(local))
-    sizes = counted.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), *[F.col(c).alias(f"_key{i}") for i, c in enumerate(partition)])
+    sizes = sizes.select(
+        F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(*keys)).alias("_total"),
+        *[F.col(c).alias(f"_key{i}") for i, c in enumerate(partition)],
+    )
     on = (F.col("_part") == F.col("_p")) & reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(partition)], F.lit(True))
-    return counted.join(sizes, on).select(*df.columns, (F.col("_local") + F.col("_before")).alias(name))
+    return counted.join(sizes, on).select(*df.columns, (F.col("_local") + F.col("_before")).alias(name), *([F.col("_total").alias(total)] if total else []))
 
 
 def asset_ids(files: DataFrame, name: str = "name", path: str = "path") -> DataFrame:
@@ -62,12 +67,13 @@ def asset_ids(files: DataFrame, name: str = "name", path: str = "path") -> DataF
     have had is not given to another file, so ids may collide and are to be checked.
     """
     typed = files.withColumn("media_type", media_type(F.col(name))).withColumn("_fold", T.casefold(F.col(path)))
-    n = F.row_number().over(Window.partitionBy("media_type").orderBy("_fold", path))
+    typed = numbered(typed, ["media_type"], [F.col("_fold"), F.col(path)], "_n")
+    n = F.col("_n")
     prefix = F.when(F.col("media_type") == "image", "IMG").when(F.col("media_type") == "video", "VID").otherwise("UNSUPPORTED")
     stem = F.regexp_replace(F.col(name), r"\.[^.]*$", "")
     own = F.when(F.col("media_type") == "image", F.upper(F.regexp_extract(stem, r"(?i)\b(IMG-[0-9]{4})\b", 1))).when(F.col("media_type") == "video", F.upper(F.regexp_extract(stem, r"(?i)\b(VID-[0-9]{4})\b", 1)))
     given = F.format_string("%s-%04d", prefix, n)
-    return typed.withColumn("asset_id", F.when(F.coalesce(own != "", F.lit(False)), own).otherwise(given)).drop("_fold")
+    return typed.withColumn("asset_id", F.when(F.coalesce(own != "", F.lit(False)), own).otherwise(given)).drop("_fold", "_n")
 
 
 def even_indexes(n: Column, most: Column) -> Column:
@@ -90,6 +96,6 @@ def limit_kept(frames: DataFrame, by: list[str], order: list[str], most: str) ->
 
 def unique_names(files: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:
     """Add destination: the name, or name__2, name__3 … for later files with it."""
-    n = F.row_number().over(Window.partitionBy(*by, name).orderBy(*order))
+    rows, n = numbered(files, [*by, name], [F.col(c) for c in order], "_n"), F.col("_n")
     stem, ext = F.regexp_replace(F.col(name), r"(?<=.)\.[^.]*$", ""), F.regexp_extract(F.col(name), r".(\.[^.]*)$", 1)
-    return files.withColumn("destination", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit("__"), n, ext)))
+    return rows.withColumn("destination", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit("__"), n, ext))).drop("_n")

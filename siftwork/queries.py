@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import color as C
@@ -18,7 +18,7 @@ from siftwork.functions import hashing as H
 from siftwork.functions import numeric as N
 from siftwork.functions import text as T
 from siftwork.operators import dedupe, layout, palette, quality, timeline
-from siftwork.session import prepare, table
+from siftwork.session import prepare, stored, table
 
 DAY = 86_400.0
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,12 +122,11 @@ def hash_bits_median(spark, d):
     return table(spark, d, "embeddings").select("vec_id", e.alias("e")).select("vec_id", H.median_hash(F.col("e")).alias("hash"))
 
 
-@query(f"SELECT vec_id, {_SIGNED} AS hash, lower(lpad(to_hex(h), 16, '0')) AS hash_hex FROM (SELECT vec_id, {_BITS.format(bits='list_transform(range(1, 64), lambda i: i % 8 > 0 AND e[i + 1] > e[i])')} AS h FROM ({_RASTER}))")
+@query(f"SELECT vec_id, {_SIGNED} AS hash, lower(lpad(to_hex(h), 16, '0')) AS hash_hex FROM (SELECT vec_id, {_BITS.format(bits='list_transform(list_filter(range(0, 64), lambda i: i % 8 > 0), lambda i: e[i + 1] > e[i])')} AS h FROM ({_RASTER}))")
 def hash_bits_gradient(spark, d):
-    """Neighbour comparison over rows of eight cells (the first cell of a row gives 0, the first cell of all no bit)."""
+    """Neighbour comparison over rows of eight cells: 56 bits."""
     rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    bits = F.transform(F.sequence(F.lit(1), F.lit(63)), lambda i: (i % 8 > 0) & (F.get("e", i) > F.get("e", i - 1)))
-    hashed = rows.select("vec_id", H.pack_bits(bits).alias("hash"))
+    hashed = rows.select("vec_id", H.difference_hash(F.col("e"), 8).alias("hash"))
     return hashed.select("vec_id", "hash", N.hash_hex(F.col("hash")).alias("hash_hex"))
 
 
@@ -153,7 +152,7 @@ WITH h AS ({_HIST}), p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, unn
 SELECT left_id, right_id, round(coalesce(nullif(corr(x, y), 'nan'::DOUBLE), 1), 5) AS correlation FROM p GROUP BY ALL
 """)
 def histogram_corr(spark, d):
-    h = _letters(spark, d)
+    h = stored(_letters(spark, d).select("doc_id", "histogram"), "letters")  # both sides of the join read it
     a, b = h.select(F.col("doc_id").alias("left_id"), F.col("histogram").alias("x"), (F.col("doc_id") + 1).alias("right_id")), h.select(F.col("doc_id").alias("right_id"), F.col("histogram").alias("y"))
     return a.join(b, "right_id").select("left_id", "right_id", F.round(H.correlation(F.col("x"), F.col("y")), 5).alias("correlation"))
 
@@ -231,7 +230,28 @@ def scene_thinning(spark, d):
     return timeline.thin(_events(spark, d), "user_id", "t", 6.0).select("user_id", F.round("t", 5).alias("t"), "sequence")
 
 
-@query()
+_FILL = f"""
+WITH RECURSIVE ev AS MATERIALIZED ({_EV}),
+m AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM ev WHERE t > 0),
+f AS (
+  SELECT user_id, 1 AS i, t AS last, true AS taken FROM m WHERE i = 1
+  UNION ALL SELECT m.user_id, m.i, CASE WHEN m.t - f.last >= 24 THEN m.t ELSE f.last END, m.t - f.last >= 24 FROM f JOIN m ON m.user_id = f.user_id AND m.i = f.i + 1),
+accepted AS (SELECT user_id, list(last) AS have FROM (SELECT user_id, last, row_number() OVER (PARTITION BY user_id ORDER BY i) AS n FROM f WHERE taken) WHERE n <= 20 GROUP BY user_id),
+s AS (
+  SELECT user_id, duration, coalesce(have, []) AS have, greatest(1, raw_target - len(coalesce(have, []))) AS needed, least(0.5, duration * 0.08) AS margin
+  FROM ({_SPANS.replace(_EV, "SELECT * FROM ev")}) LEFT JOIN accepted USING (user_id)),
+g AS (
+  SELECT user_id, 0 AS i, []::DOUBLE[] AS kept FROM s
+  UNION ALL
+  SELECT user_id, i, CASE WHEN len(kept) < needed AND len(list_filter(have, lambda y: abs(y - x) < 6)) = 0 AND len(list_filter(kept, lambda y: abs(y - x) < 6)) = 0 THEN list_append(kept, x) ELSE kept END
+  FROM (SELECT g.user_id, g.i + 1 AS i, g.kept, s.have, s.needed, s.margin + (greatest(s.margin, s.duration - s.margin) - s.margin) / (2 * s.needed + 1) * (g.i + 1) AS x FROM g JOIN s USING (user_id) WHERE g.i < 2 * s.needed)),
+filled AS (SELECT user_id, unnest(kept) AS t, unnest(range(1, len(kept) + 1)) AS sequence FROM g JOIN s USING (user_id) WHERE g.i = 2 * s.needed),
+near AS (SELECT filled.user_id, filled.t, sequence, event_id, row_number() OVER (PARTITION BY filled.user_id, filled.t ORDER BY abs(ev.t - filled.t), ev.t) AS r FROM filled JOIN ev USING (user_id))
+SELECT user_id, round(t, 5) AS t, sequence::INTEGER AS sequence, event_id FROM near WHERE r = 1
+"""
+
+
+@query(_FILL)
 def uniform_fill(spark, d):
     e = _events(spark, d)
     spans = _spans(spark, d).select("user_id", "duration", F.col("raw_target").alias("target"))
@@ -399,38 +419,56 @@ def duplicate_keys(spark, d):
 
 
 @query("""
-SELECT coalesce(a.k, b.k) AS nationkey, a.k IS NOT NULL AS in_customers, b.k IS NOT NULL AS in_suppliers
-FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9000) a FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AS in_documents, b.doc_id IS NOT NULL AS in_labels
+FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id + 1 AS doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL
 """)
 def set_equality(spark, d):
-    a = table(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("nationkey")).distinct().withColumn("a", F.lit(True))
-    b = table(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("nationkey")).distinct().withColumn("b", F.lit(True))
-    both = a.join(b, "nationkey", "full_outer").filter("a is null or b is null")
-    return both.select("nationkey", F.col("a").isNotNull().alias("in_customers"), F.col("b").isNotNull().alias("in_suppliers"))
+    """Documents against the successors of labelled ones: what only one side has."""
+    a = table(spark, d, "documents").select("doc_id").distinct().withColumn("a", F.lit(True))
+    b = table(spark, d, "labels").select((F.col("doc_id") + 1).alias("doc_id")).distinct().withColumn("b", F.lit(True))
+    both = a.join(b, "doc_id", "full_outer").filter("a is null or b is null")
+    return both.select("doc_id", F.col("a").isNotNull().alias("in_documents"), F.col("b").isNotNull().alias("in_labels"))
 
 
 @query("""
-SELECT conv_id, turn, first_conv FROM (
-  SELECT conv_id, turn, first_value(conv_id) OVER w AS first_conv, row_number() OVER w AS n FROM (SELECT *, replace(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), 'ß', 'ss') AS f FROM conversations WHERE text IS NOT NULL)
-  WINDOW w AS (PARTITION BY f ORDER BY conv_id, turn)) WHERE n > 1
+SELECT doc_id, first_doc FROM (
+  SELECT doc_id, first_value(doc_id) OVER w AS first_doc, row_number() OVER w AS n FROM (SELECT *, replace(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), 'ß', 'ss') AS f FROM documents WHERE text IS NOT NULL)
+  WINDOW w AS (PARTITION BY f ORDER BY doc_id)) WHERE n > 1
 """)
 def fingerprint_unique(spark, d):
-    """Turns whose normal form stood in an earlier turn; the first holder is aggregated and joined back."""
-    rows = table(spark, d, "conversations").filter("text is not null").select("conv_id", "turn", F.sha2(T.normalized(F.col("text")), 256).alias("f"))
-    first = rows.groupBy("f").agg(F.min(F.struct("conv_id", "turn")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = rows.join(first, "f").filter(F.struct("conv_id", "turn") != F.col("first"))
-    return later.select("conv_id", "turn", F.col("first.conv_id").alias("first_conv"))
+    """Texts whose normal form an earlier document has; the first holder is aggregated and joined back."""
+    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2(T.normalized(F.col("text")), 256).alias("f"))
+    first = rows.groupBy("f").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return rows.join(first, "f").filter("doc_id <> first_doc").select("doc_id", "first_doc")
 
 
-@query("""
-SELECT doc_id, regexp_matches(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b') AS email, regexp_matches(text, '/(?:Users|home)/[^/\\s]+/') AS home,
-  regexp_matches(text, '(?i)(?:X-Amz-Signature|X-Goog-Signature|Signature|sig|token|Expires)=[^&\\s"'']+') AS signed
-FROM documents WHERE email OR home OR signed
+#: Words and their folded forms.
+_FOLDED = (("Straße", "strasse"), ("ΟΔΟΣ Οδος", "οδοσ οδοσ"), ("ﬁne ﬂow", "fine flow"), ("ſong", "song"), ("ŉ ǰ", "ʼn j\u030c"), ("Plain", "plain"), ("ÀÉ Ñ", "àé ñ"))
+_FOLDS_SQL = ", ".join(f"({i}, '{want}')" for i, (_, want) in enumerate(_FOLDED))
+
+
+@query(f"SELECT p_partkey, want || ' ' || p_partkey AS folded FROM part JOIN (VALUES {_FOLDS_SQL}) AS f(i, want) ON p_partkey % {len(_FOLDED)} = i")
+def folded_names(spark, d):
+    word = F.get(F.array(*[F.lit(w) for w, _ in _FOLDED]), (F.col("p_partkey") % len(_FOLDED)).cast("int"))
+    return table(spark, d, "part").select("p_partkey", T.normalized(F.concat(F.lit(" "), word, F.lit(" \t "), F.col("p_partkey").cast("string"))).alias("folded"))
+
+
+def _sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+@query(f"""
+SELECT doc_id, regexp_matches(text, {_sql_text(T.EMAIL)}) AS email, regexp_matches(text, {_sql_text(T.UNIX_HOME)}) AS home, regexp_matches(text, {_sql_text(T.SIGNED_URL)}) AS signed,
+  regexp_matches(text, {_sql_text(T.CREDENTIAL)}) AS credential, regexp_matches(replace(text, '\\\\', '\\'), {_sql_text(T.WINDOWS_HOME)}) AS windows
+FROM documents WHERE email OR home OR signed OR credential OR windows
 """)
 def privacy_scan(spark, d):
     t = F.col("text")
-    rows = table(spark, d, "documents").select("doc_id", t.rlike(T.EMAIL).alias("email"), t.rlike(T.UNIX_HOME).alias("home"), t.rlike(T.SIGNED_URL).alias("signed"))
-    return rows.filter("email or home or signed")
+    windows = F.replace(t, F.lit("\\\\"), F.lit("\\")).rlike(T.WINDOWS_HOME)
+    rows = table(spark, d, "documents").select(
+        "doc_id", t.rlike(T.EMAIL).alias("email"), t.rlike(T.UNIX_HOME).alias("home"), t.rlike(T.SIGNED_URL).alias("signed"), t.rlike(T.CREDENTIAL).alias("credential"), windows.alias("windows")
+    )
+    return rows.filter("email or home or signed or credential or windows")
 
 
 @query("""
@@ -441,6 +479,100 @@ def redaction(spark, d):
     return table(spark, d, "pages").select("page_id", T.redact(message).alias("shown"))
 
 
+_ODD_NAMES = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'plain ' || event_id || '.jpg' WHEN 1 THEN 'VID-0001__000000001500__scene__x.jpg' WHEN 2 THEN 'VID-12__000000001500__scene__0001.jpg' ELSE printf('VID-%04d__%012d__uniform__%04d-extra.png', user_id % 10000, event_id * 7, event_id % 10000) END AS name FROM events"
+_PREFIX = "'^(VID-[0-9]{4})__([0-9]{12})__(scene|uniform|boundary)__[0-9]{4}'"
+
+
+@query(f"""
+SELECT event_id, CASE WHEN hit THEN regexp_extract(name, {_PREFIX}, 2)::BIGINT ELSE 0 END AS timestamp_ms, CASE WHEN hit THEN regexp_extract(name, {_PREFIX}, 3) ELSE 'frame' END AS method,
+  CASE WHEN hit THEN regexp_extract(name, {_PREFIX}, 1) ELSE regexp_replace(name, '\\.[^.]*$', '') END AS label,
+  row_number() OVER (PARTITION BY event_id % 3 ORDER BY CASE WHEN hit THEN regexp_extract(name, {_PREFIX}, 2)::BIGINT ELSE 0 END, lower(name), event_id) AS place
+FROM (SELECT *, regexp_matches(name, {_PREFIX}) AS hit FROM ({_ODD_NAMES}))
+""")
+def sheet_order(spark, d):
+    """Items of three sheets in order: by the time in a frame's name, else by name."""
+    e = F.col("event_id")
+    usual = F.format_string("VID-%04d__%012d__uniform__%04d-extra.png", F.col("user_id") % 10000, e * 7, e % 10000)
+    name = F.when(e % 5 == 0, F.concat(F.lit("plain "), e.cast("string"), F.lit(".jpg"))).when(e % 5 == 1, "VID-0001__000000001500__scene__x.jpg").when(e % 5 == 2, "VID-12__000000001500__scene__0001.jpg").otherwise(usual)
+    rows = table(spark, d, "events").select("event_id", (e % 3).alias("sheet"), name.alias("name")).withColumn("p", T.frame_identity(F.col("name")))
+    rows = rows.select("event_id", "sheet", "p.timestamp_ms", "p.method", "p.label", T.casefold(F.col("name")).alias("fold"))
+    return quality.numbered(rows, ["sheet"], [F.col("timestamp_ms"), F.col("fold"), F.col("event_id")], "place").drop("sheet", "fold")
+
+
+@query("""
+SELECT source, page, CASE WHEN pages > 1 THEN printf('%s-%02d.jpg', source, page) ELSE source || '.jpg' END AS file
+FROM (SELECT source, ceil(count(*) / 30.0)::INTEGER AS pages FROM documents WHERE source IS NOT NULL GROUP BY source), unnest(range(1, pages + 1)) AS t(page)
+""")
+def page_names(spark, d):
+    sheets = table(spark, d, "documents").filter("source is not null").groupBy("source").agg(layout.page_count(F.count(F.lit(1)), 5, 6).alias("pages"))
+    rows = sheets.select("source", "pages", F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("page"))
+    return rows.select("source", F.col("page").cast("long").alias("page"), T.page_name(F.col("source"), F.lit(".jpg"), F.col("page"), F.col("pages")).alias("file"))
+
+
+@query("""
+SELECT event_id, CASE WHEN x < 0 OR isnan(x) THEN NULL ELSE x END AS seconds, coalesce(((coalesce(trunc(try_cast(tag AS DOUBLE)), side, 0)::BIGINT % 360) + 360) % 360, 0)::INTEGER AS rotation, transfer IN ('smpte2084', 'arib-std-b67') OR primaries = 'bt2020' AS tone_mapped
+FROM (SELECT event_id, try_cast(raw AS DOUBLE) AS x, tag, side, lower(transfer) AS transfer, lower(primaries) AS primaries FROM (
+  SELECT event_id, ([value::VARCHAR, '-2', 'abc', 'nan', NULL])[event_id % 5 + 1] AS raw, (['90', 'x', NULL, '-90.0', '450'])[event_id % 5 + 1] AS tag, ([270, 180])[event_id % 2 + 1] AS side,
+    (['SMPTE2084', 'arib-std-b67', 'bt709'])[event_id % 3 + 1] AS transfer, (['bt709', 'BT2020'])[event_id % 2 + 1] AS primaries FROM events))
+""")
+def probe_values(spark, d):
+    """Values as probes report them: numbers that may be unreadable, rotation tags and side data, colour transfer."""
+    e = F.col("event_id")
+    of = lambda n, *xs: F.get(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), (e % n).cast("int"))
+    raw = of(5, F.col("value").cast("string"), "-2", "abc", "nan", F.lit(None).cast("string"))
+    turned = N.rotation(of(5, "90", "x", F.lit(None).cast("string"), "-90.0", "450"), F.array(F.lit("bad"), of(2, "270", "180")))
+    return table(spark, d, "events").select("event_id", N.parse_float(raw).alias("seconds"), turned.alias("rotation"), N.tone_mapped(of(3, "SMPTE2084", "arib-std-b67", "bt709"), of(2, "bt709", "BT2020")).alias("tone_mapped"))
+
+
+@query(f"SELECT user_id, count(*) FILTER (value > 250) AS kept FROM ({_EV}) GROUP BY user_id HAVING count(*) FILTER (value > 250) < 3")
+def kept_guard(spark, d):
+    """Subjects with fewer than three kept moments."""
+    frames = _events(spark, d).withColumn("status", F.when(F.col("value") > 250, "kept").otherwise("filtered"))
+    return timeline.kept_guard(frames, "user_id")
+
+
+#: Guidance texts, the families that they name and their accents in order.
+_GUIDANCE = (
+    ("大面积蓝，少量橙点缀；局部红", "蓝 红 橙", "橙 红"), ("蓝色为主", "蓝", ""), ("孔雀蓝与青绿", "蓝 绿", ""), ("局部青，点缀在远处的一大片蓝", "蓝 青", "青 蓝"),
+    ("点缀青绿与一块红；红少量", "红 绿 青", "红 绿 青"), ("局部蓝与少量青", "蓝 青", "蓝"), ("紫罗兰和玫瑰粉。金黄一块", "黄 紫 粉", "黄"),
+)
+_GUIDES = ", ".join(f"({i}, '{named}', '{accents}')" for i, (_, named, accents) in enumerate(_GUIDANCE))
+
+
+@query(f"SELECT p_partkey, named, accents FROM part JOIN (VALUES {_GUIDES}) AS g(i, named, accents) ON p_partkey % {len(_GUIDANCE)} = i")
+def hue_words(spark, d):
+    text = F.get(F.array(*[F.lit(g) for g, _, _ in _GUIDANCE]), (F.col("p_partkey") % len(_GUIDANCE)).cast("int"))
+    families = lambda x: F.array_join(F.transform(x, lambda t: t["family"]), " ")
+    return table(spark, d, "part").select("p_partkey", families(C.hue_targets(text)).alias("named"), families(C.accent_targets(text)).alias("accents"))
+
+
+@query(f"SELECT r, g, b, [r, g, b] AS back, round(r * 100.0 / 255, 6) AS lab_l, (g - 128)::DOUBLE AS lab_a, (b - 128)::DOUBLE AS lab_b FROM ({_DIST})")
+def color_bytes(spark, d):
+    rgb = F.col("r"), F.col("g"), F.col("b")
+    p = C.lab_from_bytes(*rgb)
+    return _colors(spark, d).select("r", "g", "b", C.rgb_of(C.hex_of(*rgb)).alias("back"), F.round(p["l"], 6).alias("lab_l"), p["a"].alias("lab_a"), p["b"].alias("lab_b"))
+
+
+@query("""
+SELECT n_nationkey, i, (i % 5 * 384)::INTEGER AS x0, (i // 5 * 540)::INTEGER AS y0, (i % 5 * 384 + 384)::INTEGER AS x1, (i // 5 * 540 + 540)::INTEGER AS y1, (i % 5 * 384 + 192)::INTEGER AS cx, (i // 5 * 540 + 270)::INTEGER AS cy,
+  1974 AS overview_width, (ceil((n_nationkey + 1) / 2.0) * 558 + 18)::INTEGER AS overview_height
+FROM nation, unnest(range(10)) AS t(i)
+""")
+def card_cells(spark, d):
+    """Ten cells of each nation's card, and the size of an overview of so many groups as its key says."""
+    rows = table(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("i"))
+    width, height = layout.overview_size(F.col("n_nationkey") + 1)
+    return layout.card_cells(rows, "n_nationkey", F.col("i")).withColumns({"overview_width": width, "overview_height": height})
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Given' WHEN doc_id % 3 = 1 THEN lang ELSE 'pack ' || doc_id END AS title FROM documents WHERE doc_id % 3 <> 1 OR trim(lang) <> ''")
+def titles(spark, d):
+    """Explicit title, project, or the folder's name without its suffix."""
+    i = F.col("doc_id")
+    named = T.title(F.when(i % 3 == 0, " Given "), F.when(i % 3 == 1, F.col("lang")), F.concat(F.lit("pack "), i.cast("string"), F.lit("-风格包-v2")))
+    return table(spark, d, "documents").filter("doc_id % 3 <> 1 or trim(lang) <> ''").select("doc_id", named.alias("title"))
+
+
 @query("""
 SELECT page_id, p AS path, coalesce(regexp_matches(p, '\\S') AND NOT contains(p, '\\') AND NOT regexp_matches(p, '^[A-Za-z]:') AND NOT starts_with(p, '/') AND NOT list_contains(string_split(p, '/'), '..'), false) AS portable
 FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN regexp_extract(url, '://[^/]*/(.*)$', 1) WHEN 2 THEN '../' || page_id ELSE regexp_extract(url, '://[^/]*(.*)$', 1) END AS p FROM pages)
@@ -453,14 +585,15 @@ def portable_paths(spark, d):
 
 
 @query(f"""
-WITH used AS (SELECT l_returnflag AS flag, printf('#%02X%02X%02X', r, g, b) AS hex FROM ({_PIX}) WHERE l_linenumber = 1), allowed AS (SELECT DISTINCT printf('#%02X%02X%02X', r, g, b) AS hex FROM ({_PIX}) WHERE l_linenumber = 2)
+WITH used AS (SELECT l_returnflag AS flag, printf('#%02X%02X%02X', r, g, b) AS hex FROM ({_PIX})), allowed AS (SELECT DISTINCT printf('#%02X%02X%02X', least(p_size * 5, 255), p_partkey % 11 * 25, p_partkey % 9 * 31) AS hex FROM part)
 SELECT flag, hex, count(*) AS places FROM used ANTI JOIN allowed USING (hex) GROUP BY ALL
 """)
 def hex_reference_check(spark, d):
     """Colours written into texts that are not part of the allowed palette."""
     p = _pixels(spark, d)
-    texts = p.filter("l_linenumber = 1").select(F.col("l_returnflag").alias("flag"), F.concat(F.lit("tone "), F.lower(C.hex_of(F.col("r"), F.col("g"), F.col("b"))), F.lit(" here")).alias("text"))
-    allowed = p.filter("l_linenumber = 2").select(C.hex_of(F.col("r"), F.col("g"), F.col("b")).alias("hex")).distinct()
+    texts = p.select(F.col("l_returnflag").alias("flag"), F.concat(F.lit("tone "), F.lower(C.hex_of(F.col("r"), F.col("g"), F.col("b"))), F.lit(" here")).alias("text"))
+    shade = [x.cast("int") for x in (F.least(F.col("p_size") * 5, F.lit(255)), F.col("p_partkey") % 11 * 25, F.col("p_partkey") % 9 * 31)]
+    allowed = table(spark, d, "part").select(C.hex_of(*shade).alias("hex")).distinct()
     used = texts.select("flag", F.explode(T.hex_tokens(F.col("text"))).alias("hex"))
     return used.groupBy("flag", "hex").agg(F.count(F.lit(1)).alias("places")).join(allowed, "hex", "left_anti")
 
