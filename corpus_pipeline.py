@@ -48,10 +48,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts what an earlier document holds already; documents of which nothing is left go. Rows with a null id stay as they are."""
-    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")])
     cut = substrings.without_repeats(docs.select("doc_id", "text", others.alias("row")), keep_spacing=True).filter("n_removed < n_words or n_words = 0")
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return cut.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

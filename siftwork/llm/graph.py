@@ -19,6 +19,8 @@ def _hooked(edges: DataFrame, ends: int) -> DataFrame:
     most, as their edges add up to no more than ``ends``) are joined in parts.
     """
     low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), (F.col("n") > max(HEAVY, ends // 10_000)).alias("heavy"))
+    if ends <= HEAVY:
+        return edges.join(low.select("u", "m"), "u")
     heavy = F.broadcast(low.filter("heavy").select("u", "heavy"))
     salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int")
     dealt = edges.join(heavy, "u", "left").select("u", "v", salt.alias("salt"))
@@ -42,8 +44,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hooked(both, 2 * count).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.filter("u <> v").distinct(), "edges")
-        small = _hooked(large, large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = large.filter("u <> v").distinct()
+        small = _hooked(large, 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         new = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = stored(new, "edges")

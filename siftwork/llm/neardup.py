@@ -37,7 +37,7 @@ COLLISION = 2.0 ** -(MANTISSA + 1)
 #: Pairs estimated under this similarity form no family. The standard error of an estimate is 0.03.
 FAMILY = 0.3
 #: Hubs that a band tries.
-ROUNDS = 3
+ROUNDS = 2
 #: Shingles of a family (or pair of blocks) that a task holds at a time.
 HELD = 3_000_000
 

@@ -13,9 +13,9 @@ pairs; a window's hash decides, its anchor only routes it.
 Tasks group their windows by anchor, drop those for which they have seen a
 smaller document, first within a chunk of text and then against a table that a
 task carries from chunk to chunk (so a passage that stands everywhere sends few
-rows a task), and send the rest by anchor: 32 bits of the name, the place of the
+rows a task), and send the rest by anchor: 16 bits of the name, the place of the
 first window, and each window's 64-bit hash, so that a window is identified by
-96 bits. Receivers find the smallest document of each window; covered words are
+80 bits and the bucket where it is met. Receivers find the smallest document of each window; covered words are
 then removed from the texts. A row is known by its id, and where ids repeat by
 the hash of its text too: rows equal in both lose the same words.
 """
@@ -39,8 +39,8 @@ WINDOW = 13
 BLOCK = 1 << 17
 #: Bytes of text that a task groups at a time, and characters of the corpus for each receiver.
 CHUNK, BUCKET_CHARS = 4 << 20, 6_000_000
-#: Slots (a power of two) of the table of windows that a task has seen: 29 bytes each.
-SEEN = 1 << 21
+#: Slots (a power of two) of the table of windows that a task has seen: 22 bytes each.
+SEEN = 1 << 20
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,7 +185,7 @@ def _groups(docs: np.ndarray, parts: np.ndarray | None, first: np.ndarray, hashe
         flat = np.repeat(begin[mine] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
         heads = begin[mine]
         columns = [
-            (name[mine] >> np.uint64(20)).astype(np.uint32).tobytes(), length.astype(np.uint8).tobytes(), _planes(_steps(doc[heads].view(np.uint64))),
+            (name[mine] >> np.uint64(20)).astype(np.uint16).tobytes(), length.astype(np.uint8).tobytes(), _planes(_steps(doc[heads].view(np.uint64))),
             _planes(_steps(position[heads].astype(np.uint64))), value[flat].tobytes(), b"" if parts is None else _planes(_steps(parts[row[heads]].view(np.uint64))),
         ]
         yield int(bucket[mine[0]]), struct.pack("<ii?", len(mine), len(flat), parts is not None) + b"".join(columns)
@@ -217,8 +217,8 @@ def _read(payload: bytes) -> tuple[np.ndarray, ...]:
     """Anchor name, hash, document, part and position by window."""
     n, total, parted = struct.unpack_from("<ii?", payload)
     at = struct.calcsize("<ii?")
-    name, length = np.frombuffer(payload, np.uint32, n, at), np.frombuffer(payload, np.uint8, n, at + 4 * n).astype(np.int64)
-    at += 5 * n
+    name, length = np.frombuffer(payload, np.uint16, n, at), np.frombuffer(payload, np.uint8, n, at + 2 * n).astype(np.int64)
+    at += 3 * n
     doc, position = _joined(payload, n, at).view(np.int64), _joined(payload, n, at + 8 * n).view(np.int64)
     value = np.frombuffer(payload, np.uint64, total, at + 16 * n)
     part = _joined(payload, n, at + 16 * n + 8 * total).view(np.int64) if parted else np.zeros(n, np.int64)
@@ -325,7 +325,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = F.xxhash64(text) if parted else F.lit(0).cast("long")
     keyed = rows.select(number.alias("id"), part.alias("part"), text.alias("text"), struct_.alias("rest"))
     size = keyed.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    buckets = max(1, int(-(-size // BUCKET_CHARS)))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(-(-size // BUCKET_CHARS)))
     homes = next(n for n in range(buckets | 1, 1 << 62, 2) if all(n % p for p in range(3, int(n**0.5) + 1, 2)))  # a prime: even for keys in steps
     places = repeated_windows(keyed.filter("id is not null and text is not null"), window, buckets, homes, parted)
     rest_type = keyed.schema["rest"].dataType

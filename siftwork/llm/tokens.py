@@ -25,8 +25,8 @@ import regex
 
 from siftwork.llm import kernels as K
 
-#: Chunks in each of the two generations that a worker keeps (some 90 MB). What is met again moves on to the younger one.
-MEMO = 500_000
+#: Chunks in each of the two generations that a worker keeps (some 70 MB). What is met again moves on to the younger one.
+MEMO = 350_000
 #: Bytes of text whose chunks are named together.
 GROUP = 12 << 20
 # The pre-token patterns of the two tokenizer kinds and the byte-level alphabet.
