@@ -157,7 +157,34 @@ def histogram_corr(spark, d):
     return a.join(b, "right_id").select("left_id", "right_id", F.round(H.correlation(F.col("x"), F.col("y")), 5).alias("correlation"))
 
 
-@query()
+_NEAR = f"""
+WITH RECURSIVE h AS MATERIALIZED (SELECT d.doc_id, n_chars, hist FROM ({_HIST}) x JOIN documents d USING (doc_id)),
+combos AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS n FROM range(26) AS a(i), range(26) AS b(j) WHERE i < j),
+chosen AS (SELECT list([i + 1, j + 1] ORDER BY n) FILTER (n % 4 = 0 AND n < 256) AS p, list([i + 1, j + 1] ORDER BY n) FILTER (n % 4 = 1 AND n < 257) AS q FROM combos),
+hashed AS (
+  SELECT doc_id, n_chars, hist, min(doc_id) OVER (PARTITION BY hist, n_chars) AS best, {_BITS.format(bits="list_transform(p, lambda c: hist[c[1]] > hist[c[2]])")} AS p, {_BITS.format(bits="list_transform(q, lambda c: hist[c[1]] > hist[c[2]])")} AS q
+  FROM h, chosen),
+r AS MATERIALIZED (SELECT doc_id, list_transform(hist, lambda v: v::DOUBLE) AS x, p, q, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM hashed WHERE best = doc_id),
+s AS MATERIALIZED (SELECT *, list_sum(x) AS total, list_dot_product(x, x) - list_sum(x) * list_sum(x) / 26 AS spread FROM r),
+near AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT a.rank AS better, b.rank AS worse, bit_count(xor(a.p, b.p)) AS dp, bit_count(xor(a.q, b.q)) AS dq,
+      CASE WHEN abs(a.spread * b.spread) > 1e-12 THEN (list_dot_product(a.x, b.x) - a.total * b.total / 26) / sqrt(a.spread * b.spread) ELSE 1 END AS c
+    FROM s a JOIN s b ON a.rank < b.rank AND bit_count(xor(a.p, b.p)) <= 6 AND bit_count(xor(a.q, b.q)) <= 8) WHERE c >= 0.85),
+beside AS MATERIALIZED (SELECT r.rank, list(better ORDER BY better) FILTER (better IS NOT NULL) AS l FROM r LEFT JOIN near ON worse = r.rank GROUP BY r.rank),
+scan AS (
+  SELECT 0::BIGINT AS rank, NULL::BIGINT AS keeper, []::BIGINT[] AS kept
+  UNION ALL
+  SELECT rank, keeper, CASE WHEN keeper IS NULL THEN list_append(kept, rank) ELSE kept END
+  FROM (SELECT b.rank, list_filter(coalesce(b.l, []), lambda z: list_contains(scan.kept, z))[1] AS keeper, scan.kept FROM scan JOIN beside b ON b.rank = scan.rank + 1)),
+told AS (SELECT r.doc_id, k.doc_id AS keeper, dp, dq, c FROM scan JOIN r USING (rank) LEFT JOIN r k ON k.rank = scan.keeper LEFT JOIN near ON better = scan.keeper AND worse = scan.rank)
+SELECT hashed.doc_id AS id, CASE WHEN best <> hashed.doc_id OR keeper IS NOT NULL THEN 'duplicate' ELSE 'kept' END AS status, CASE WHEN best <> hashed.doc_id THEN best ELSE keeper END AS keeper,
+  CASE WHEN best <> hashed.doc_id THEN 'exact_duplicate' WHEN keeper IS NOT NULL THEN 'near_duplicate' END AS filter_reason, dp::INTEGER AS phash_distance, dq::INTEGER AS dhash_distance, round(round_even(c, 6), 5) AS histogram_correlation
+FROM hashed LEFT JOIN told USING (doc_id)
+"""
+
+
+@query(_NEAR)
 def near_duplicates(spark, d):
     """The full item de-duplication at its production limits, on letter histograms: 64 comparisons of letter counts as one hash, 64 others as the second.
 
@@ -170,7 +197,7 @@ def near_duplicates(spark, d):
         bits(pairs[0:256:4]).alias("phash"), bits(pairs[1:257:4]).alias("dhash"), "histogram",
     )
     out = dedupe.deduplicate(items)
-    return out.select("id", "status", "keeper", "filter_reason", "phash_distance", "dhash_distance", "histogram_correlation")
+    return out.select("id", "status", "keeper", "filter_reason", "phash_distance", "dhash_distance", F.round("histogram_correlation", 5).alias("histogram_correlation"))
 
 
 def _events(spark, d):
