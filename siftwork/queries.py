@@ -18,6 +18,7 @@ from siftwork.functions import hashing as H
 from siftwork.functions import numeric as N
 from siftwork.functions import text as T
 from siftwork.operators import dedupe, layout, palette, quality, timeline
+from siftwork.plans import reports
 from siftwork.session import prepare, stored, table
 
 DAY = 86_400.0
@@ -469,6 +470,43 @@ def fingerprint_unique(spark, d):
     return rows.join(first, "f").filter("doc_id <> first_doc").select("doc_id", "first_doc")
 
 
+@query("""
+WITH f AS (
+  SELECT user_id AS sheet, event_id AS pos, 'frame-' || (event_id % 97) || '.jpg' AS filename, event_id % 3 <> 0 AS kept, CASE WHEN event_id % 5 <> 0 THEN event_id * 10 END AS ms, CASE WHEN event_id % 7 <> 0 THEN 'scene' END AS method,
+    'FRM-' || event_id AS frame_id
+  FROM events),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet, filename ORDER BY pos DESC) AS r FROM f WHERE kept) WHERE r = 1)
+SELECT sheet, name, coalesce(ms, 0) AS timestamp_ms, coalesce(method, 'frame') AS method, coalesce(frame_id, replace(name, '.jpg', '')) AS label
+FROM (SELECT DISTINCT sheet, filename AS name FROM f) x LEFT JOIN last USING (sheet) WHERE last.filename = name
+UNION ALL SELECT sheet, name, 0, 'frame', replace(name, '.jpg', '') FROM (SELECT DISTINCT sheet, filename AS name FROM f) x WHERE NOT EXISTS (SELECT 1 FROM last WHERE last.sheet = x.sheet AND last.filename = x.name)
+""")
+def frame_items(spark, d):
+    """Frame files of each user with what the last kept row of that name says."""
+    e = F.col("event_id")
+    frames = table(spark, d, "events").select(
+        F.col("user_id").alias("sheet"), e.alias("pos"), F.concat(F.lit("frame-"), (e % 97).cast("string"), F.lit(".jpg")).alias("filename"), F.when(e % 3 != 0, "kept").otherwise("filtered").alias("status"),
+        F.when(e % 5 != 0, e * 10).alias("timestamp_ms"), F.when(e % 7 != 0, "scene").alias("method"), F.concat(F.lit("FRM-"), e.cast("string")).alias("frame_id"),
+    )
+    return reports.frame_items(frames.select("sheet", F.col("filename").alias("name")).distinct(), frames)
+
+
+_STORED = "SELECT p_partkey, p_partkey % 4 AS m, CASE p_partkey % 10 WHEN 0 THEN [1, 2] WHEN 1 THEN [300, 0, 0] WHEN 2 THEN NULL ELSE [p_size, p_partkey % 256, 100] END AS rgb FROM part"
+
+
+@query(f"""
+WITH c AS ({_STORED}), lab AS ({_LAB.replace(_DIST, "SELECT DISTINCT rgb[1] AS r, rgb[2] AS g, rgb[3] AS b FROM c WHERE len(rgb) = 3 AND rgb[1] <= 255")})
+SELECT p_partkey, CASE WHEN coalesce(len(rgb), -1) <> 3 THEN 'no rgb' WHEN rgb[1] > 255 THEN 'rgb out of range' END AS error, round(l, 4) AS lightness, round(sqrt(a * a + bb * bb), 4) AS chroma, CASE WHEN m = 0 THEN 0 ELSE 0.25 END::DOUBLE AS weight, 0.0::DOUBLE AS recurrence
+FROM c LEFT JOIN lab ON rgb[1] = r AND rgb[2] = g AND rgb[3] = b
+""")
+def palette_candidates(spark, d):
+    """Stored colours read back: some without rgb, some out of range, some without a share."""
+    k = F.col("p_partkey")
+    rgb = F.when(k % 10 == 0, F.array(F.lit(1), F.lit(2))).when(k % 10 == 1, F.array(F.lit(300), F.lit(0), F.lit(0))).when(k % 10 > 2, F.array(F.col("p_size").cast("int"), (k % 256).cast("int"), F.lit(100)))
+    rows = table(spark, d, "part").select("p_partkey", rgb.alias("rgb"), F.when(k % 4 != 0, 0.25).alias("sample_share"), F.lit(None).cast("double").alias("image_recurrence"))
+    out = reports.palette_candidates(rows)
+    return out.select("p_partkey", "error", F.round("lightness", 4).alias("lightness"), F.round("chroma", 4).alias("chroma"), "weight", "recurrence")
+
+
 #: Words and their folded forms.
 _FOLDED = (("Straße", "strasse"), ("ΟΔΟΣ Οδος", "οδοσ οδοσ"), ("ﬁne ﬂow", "fine flow"), ("ſong", "song"), ("ŉ ǰ", "ʼn j\u030c"), ("Plain", "plain"), ("ÀÉ Ñ", "àé ñ"))
 _FOLDS_SQL = ", ".join(f"({i}, '{want}')" for i, (_, want) in enumerate(_FOLDED))
