@@ -7,12 +7,19 @@ and break ties by an id column.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import numeric
+from siftwork.session import prepare
 
 MIN_GAP, UNIFORM_GAP = 0.35, 0.5
+#: Equal to no subject.
+_NONE = object()
 
 
 def change_scores(df: DataFrame, subject: str, t: str, tie: str, value: str, scale: float = 1.0) -> DataFrame:
@@ -46,19 +53,40 @@ def adaptive_threshold(scored: DataFrame, targets: DataFrame, subject: str, init
 def thin(moments: DataFrame, subject: str, t: str, gap: float, most: str | int | None = None) -> DataFrame:
     """(subject, t, sequence): moments after 0 which lie ``gap`` or more after the last one accepted, ``most`` at most.
 
-    Acceptance depends on the last accepted moment, so it is a fold over the
-    subject's sorted moments and no lag of a row.
+    Acceptance depends on the last accepted moment, so a subject is one sorted
+    stream through a task; only that moment and a count are held, however long
+    the subject is, and the search jumps from one accepted moment to the next.
     """
-    cap = F.lit(1 << 30) if most is None else F.lit(most) if isinstance(most, int) else F.first(most)
-    start = F.struct(F.lit(-1000.0).alias("last"), F.array().cast("array<double>").alias("kept"))
-
-    def step(s: Column, x: Column) -> Column:
-        take = (x > 0) & (x - s["last"] >= gap) & (F.size(s["kept"]) < F.col("cap"))
-        return F.struct(F.when(take, x).otherwise(s["last"]).alias("last"), F.when(take, F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept"))
-
-    held = moments.groupBy(subject).agg(F.array_sort(F.collect_list(F.col(t).cast("double"))).alias("all"), cap.alias("cap"))
-    kept = held.select(subject, F.aggregate("all", start, step)["kept"].alias("kept"))
-    return kept.select(subject, F.posexplode("kept").alias("i", "t")).select(subject, "t", (F.col("i") + 1).alias("sequence"))
+    prepare(moments.sparkSession)
+    cap = F.lit(1 << 62) if most is None else F.lit(most) if isinstance(most, int) else F.col(most)
+    rows = moments.select(F.col(subject), F.col(t).cast("double").alias("t"), cap.cast("long").alias("cap")).filter("t > 0")
+    kind = rows.schema[subject].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last, count = _NONE, 0.0, 0
+        for batch in batches:
+            names, times, caps = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            cuts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
+            rows_, numbers = [], []
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if names[low] != current:
+                    current, last, count = names[low], -1000.0, 0
+                i = low
+                while i < high and count < caps[low]:
+                    i += int(np.searchsorted(times[i:high], last + gap))
+                    while i > low and times[i - 1] - last >= gap:  # the sum rounds: the difference decides
+                        i -= 1
+                    while i < high and not times[i] - last >= gap:
+                        i += 1
+                    if i < high:
+                        last, count = float(times[i]), count + 1
+                        rows_.append(i)
+                        numbers.append(count)
+            at = pa.array(rows_, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32())], ["subject", "t", "sequence"])
+
+    ordered = rows.repartition(subject).sortWithinPartitions(subject, "t")
+    return ordered.mapInArrow(run, f"`{subject}` {kind}, t double, sequence int")
 
 
 def uniform_fill(subjects: DataFrame, accepted: DataFrame, subject: str, gap: float = UNIFORM_GAP) -> DataFrame:
@@ -74,7 +102,8 @@ def uniform_fill(subjects: DataFrame, accepted: DataFrame, subject: str, gap: fl
     rows = rows.withColumn("needed", F.greatest(F.lit(1), F.col("target") - F.size("have"))).withColumn("candidates", numeric.evenly_spaced(F.col("duration"), F.col("needed") * 2))
 
     def step(s: Column, x: Column) -> Column:
-        apart = F.forall(F.col("have"), lambda y: F.abs(y - x) >= gap) & F.forall(s, lambda y: F.abs(y - x) >= gap)
+        # candidates ascend, so of those added the last one is the nearest
+        apart = F.forall(F.col("have"), lambda y: F.abs(y - x) >= gap) & F.coalesce(x - F.try_element_at(s, F.lit(-1)) >= gap, F.lit(True))
         return F.when((F.size(s) < F.col("needed")) & apart, F.concat(s, F.array(x))).otherwise(s)
 
     added = rows.select(subject, F.aggregate("candidates", F.array().cast("array<double>"), step).alias("added"))
