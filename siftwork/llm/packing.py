@@ -24,7 +24,7 @@ GROUP = 1 << 20
 #: A group has one sequence in so many more than its tokens fill, so that most documents fit whole: padding of 0.4 %.
 SPARE = 256
 #: Bytes of text encoded at a time.
-PIECE = 16 << 20
+PIECE = 4 << 20
 
 
 def capacities(total: int, capacity: int) -> list[int]:
@@ -132,6 +132,7 @@ def pack_documents(
                         ids, streams, held = [], [], 0
         if streams:
             yield from packed()
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'bigint'}" for n in names)
     return rows.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ BATCH = 256
 #: Characters of text in a file, and the most files: of a larger corpus, files get longer.
 FILE_CHARS, MOST_FILES = 24_000_000, 200_000
 #: Bytes of text encoded at a time.
-PIECE = 12 << 20
+PIECE = 4 << 20
 
 
 def _open(uri: str):
@@ -146,6 +146,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 writer = writer or _Writer(folder, part, encode.dtype, sequence)
                 writer.add(some.column(0), *encode.encode(some.column(1)))
                 n += len(some)
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
         if writer:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([writer.total])], ["part", "n_docs", "n_tokens"])

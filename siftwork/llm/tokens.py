@@ -25,10 +25,10 @@ import regex
 
 from siftwork.llm import kernels as K
 
-#: Chunks in each of the two generations that a worker keeps (some 70 MB). What is met again moves on to the younger one.
-MEMO = 350_000
+#: Chunks in each of the two generations that a worker keeps (some 50 MB). What is met again moves on to the younger one.
+MEMO = 250_000
 #: Bytes of text whose chunks are named together.
-GROUP = 12 << 20
+GROUP = 4 << 20
 # The pre-token patterns of the two tokenizer kinds and the byte-level alphabet.
 WORD_KIND = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_KIND = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
