@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The frame-name grammar and the patterns that count as private.
-FRAME_NAME = r"^(VID-[0-9]{4})__([0-9]{12})__(scene|uniform|boundary)__([0-9]{4})\.jpg$"
+# The frame-name grammar (numbers are padded, so larger ones have more digits) and the patterns that count as private.
+FRAME_NAME = r"^(VID-[0-9]{4,})__([0-9]{12,})__(scene|uniform|boundary)__([0-9]{4,})\.jpg$"
 FRAME_PREFIX = r"^(VID-[0-9]{4})__([0-9]{12})__(scene|uniform|boundary)__[0-9]{4}"
 HEX = r"#[0-9A-Fa-f]{6}"
 WINDOWS_HOME = r"(?i)[A-Z]:\\(?:Users|Documents and Settings)\\"

@@ -71,6 +71,10 @@ def test_names_and_times(spark):
     for r in one(spark, [(n,) for n, _ in rows], "n string", p=T.frame_parts(F.col("n")), i=T.frame_identity(F.col("n"))):
         assert tuple(r.p) == dict(rows)[r.n]
         assert tuple(r.i) == ((1500, "scene", "VID-0001") if r.p.video else (0, "frame", r.n.removesuffix(".jpg")))
+    made = T.frame_name(F.format_string("VID-%04d", "v"), F.col("s"), F.lit("scene"), F.col("n"))
+    rows = [(9_999, 1.5, 9_999), (10_000, 1.5, 1), (89_999, 9_257_998.457, 10_000), (7, 1e9, 1)]  # more digits than the padding
+    for r in one(spark, rows, "v long, s double, n long", p=T.frame_parts(made)):
+        assert tuple(r.p) == (f"VID-{r.v:04d}", round(r.s * 1000), "scene", r.n)
     rows = [(0, "00:00.000"), (61_001, "01:01.001"), (3_600_000, "01:00:00.000"), (-5, "00:00.000")]
     for r in one(spark, rows, "ms long, want string", got=T.format_timestamp(F.col("ms"))):
         assert r.got == r.want
