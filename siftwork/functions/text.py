@@ -18,20 +18,24 @@ WINDOWS_PRIVATE = r"""(?i)[A-Z]:\\(?:Users|Documents and Settings)\\[^\\\s"']+(?
 UNIX_PRIVATE = r"""/(?:Users|home)/[^/\s]+(?:/[^\s"']*)?"""
 
 
-#: Characters whose case-folded form is not their lower case, from Python's own Unicode tables; capital sigma, whose lower case depends on its place.
-_FOLDS = {chr(c): chr(c).casefold() for c in range(0x80, 0x1F000) if chr(c).casefold() != chr(c).lower()} | {"Σ": "σ"}
+#: Characters that lower case leaves but case folding changes, from Python's own Unicode tables.
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x1F000)) if c.lower() == c != c.casefold()}
+_SINGLE, _SEVERAL = ({c: f for c, f in _FOLDS.items() if (len(f) > 1) == many and c != "ß"} for many in (False, True))
+#: A few ranges that hold all of them but the frequent "ß": a class of single characters would be tested one by one.
+_FOLDED = "[\u00b5\u0149\u017f\u01f0\u0345\u0390\u03b0\u03c2\u03d0-\u03f5\u0587\u13f8-\u13fd\u1c80-\u1c88\u1e96-\u1e9b\u1f50-\u1f56\u1f80-\u1ff7\uab70-\uabbf\ufb00-\ufb17]"
 
 
 def casefold(x: Column) -> Column:
-    """Full case folding: lower case, and the special foldings character by character in texts that need any."""
-    table = F.create_map(*[F.lit(y) for pair in _FOLDS.items() for y in pair])
-    folded = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c))), "")
-    return F.when(x.rlike("[" + "".join(_FOLDS) + "]"), folded).otherwise(F.lower(x))
+    """Full case folding: lower case, then the foldings it leaves, each as one replacement, in texts that may need any but "ß"."""
+    low = F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    single = F.translate(low, "".join(_SINGLE), "".join(_SINGLE.values()))
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in _SEVERAL.items()])
+    return F.when(low.rlike(_FOLDED), F.aggregate(pairs, single, lambda t, p: F.replace(t, p["c"], p["f"]))).otherwise(low)
 
 
 def normalized(x: Column) -> Column:
     """Trimmed, white space collapsed, folded; '' for null."""
-    return casefold(F.coalesce(F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\s+", " "), F.lit("")))
+    return casefold(F.coalesce(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit("")))
 
 
 def is_blank(x: Column) -> Column:

@@ -3,6 +3,7 @@
 import colorsys
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,18 @@ def test_normal_text_and_hex(spark):
     assert one(spark, [("x #a0B1c2 y #123 #FFFFFF7",)], "t string", got=T.hex_tokens(F.col("t")))[0].got == ["#A0B1C2", "#FFFFFF"]
 
 
+def test_folding_of_every_character_and_of_long_texts(spark):
+    letters = [chr(c) for c in range(1, 0x1F000) if not 0xD800 <= c < 0xE000 and chr(c).lower().islower() | (chr(c).casefold() != chr(c))]
+    words = ["".join(letters[i : i + 50]) for i in range(0, len(letters), 50)] + letters + ["ΟΔΟΣ Οδος ΣΑΣ", "Straße", "ﬁﬂ", "İI"]
+    got = [r.got for r in spark.createDataFrame(list(enumerate(words)), "i int, t string").coalesce(1).orderBy("i").select(T.casefold(F.col("t")).alias("got")).collect()]
+    assert [(w, g) for w, g in zip(words, got, strict=True) if g != w.casefold()] == []
+    long = [("Straße ſo ﬁn " * 20_000 + str(i), i) for i in range(8)] + [("A" + " " * 60_000 + "b" + str(i), i) for i in range(8)]
+    start = time.monotonic()
+    got = {r.got for r in one(spark, long, "t string, i int", got=T.normalized(F.col("t")))}
+    assert got == {" ".join(t.split()).casefold() for t, _ in long}
+    assert time.monotonic() - start < 30  # a class of all such characters, tried at every place, took minutes; runs of white space were rescanned from each place
+
+
 def test_colours(spark):
     rng = random.Random(1)
     rows = [tuple(rng.randrange(256) for _ in range(3)) for _ in range(200)] + [(0, 0, 0), (255, 255, 255), (255, 0, 0), (0, 255, 0), (0, 0, 255), (128, 128, 128)]
