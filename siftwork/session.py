@@ -81,3 +81,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(df: DataFrame, key: str, rows: int = 5_000) -> DataFrame:
+    """The rows dealt to tasks of about ``rows`` each by a key without hot values: a small file of narrow rows would be one task, whatever is made of them."""
+    return df.repartition(1 + df.count() // rows, key)
