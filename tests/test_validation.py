@@ -204,3 +204,37 @@ def test_report_redacts_and_promotes(spark):
     assert V.report(found).first().errors == ["V20 IMG <private-path>"]
     only = found.filter("severity = 'warning'")
     assert V.report(only).first().status == "PASS" and V.report(only, warnings_as_errors=True).first().status == "FAIL"
+
+
+def test_entries_beside_a_document_count_as_its_list(spark):
+    label = {f: f for f in R.LABEL_FIELDS} | {"file": "../x", "image_specific_evidence": ["a", "b"], "transferable_features": ["x"]}
+    lists = {f"{REF}manifest.json": ("sources", [{"asset_id": "IMG-1"}, 5, {"asset_id": "IMG-1"}]), "分析/单图标签-第一版.json": ("items", [label, "text", label | {"mood": " "}])}
+    files = spark.createDataFrame([(f"{REF}a.png", 1, 1, "RGB", "PNG")], V.FILES)
+    schema = "path string, text string"
+    whole = V.tables(files, spark.createDataFrame([(p, json.dumps({n: x})) for p, (n, x) in lists.items()], schema))
+    beside = spark.createDataFrame([(p, i, json.dumps(e)) for p, (_, x) in lists.items() for i, e in enumerate(x)], "path string, pos long, text string")
+    apart = V.tables(files, spark.createDataFrame([(p, json.dumps({n: []})) for p, (n, _) in lists.items()], schema), entries=beside, parsed=("sources", "labels"))
+    for name in ("sources", "labels", "manifest"):
+        assert sorted(map(str, whole[name].collect())) == sorted(map(str, apart[name].collect()))
+    assert apart["labels"].count() == 3 and apart["manifest"].first().n_sources == 3
+    broken = V.tables(files, spark.createDataFrame([(f"{REF}manifest.json", '{"sources": []}')], schema), entries=spark.createDataFrame([(f"{REF}manifest.json", 0, "{")], "path string, pos long, text string"))
+    assert [r.is_object for r in broken["sources"].collect()] == [False]
+
+
+@pytest.mark.parametrize("name", ["labels", "sources", "videos"])
+def test_no_document_grows_with_the_table(spark, monkeypatch, name):
+    from pyspark.sql import functions as F
+
+    from siftwork import acceptance
+
+    class Seen(Exception):
+        pass
+
+    def look(files, texts, **more):
+        raise Seen(texts.agg(F.max(F.length("text"))).first()[0], more["entries"].count())
+
+    monkeypatch.setattr(V, "tables", look)
+    with pytest.raises(Seen) as seen:
+        acceptance.queries()[f"acceptance_{name}"](spark, "/root/testdata/sf0.001")
+    longest, entries = seen.value.args
+    assert longest < 2_000 and entries >= 100
