@@ -19,7 +19,7 @@ from siftwork.functions import numeric as N
 from siftwork.functions import text as T
 from siftwork.operators import dedupe, layout, palette, quality, timeline
 from siftwork.plans import reports
-from siftwork.session import prepare, stored, table
+from siftwork.session import dealt, prepare, stored, table
 
 DAY = 86_400.0
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -608,7 +608,7 @@ _GUIDES = ", ".join(f"({i}, '{named}', '{accents}')" for i, (_, named, accents)
 def hue_words(spark, d):
     text = F.get(F.array(*[F.lit(g) for g, _, _ in _GUIDANCE]), (F.col("p_partkey") % len(_GUIDANCE)).cast("int"))
     families = lambda x: F.array_join(F.transform(x, lambda t: t["family"]), " ")
-    return table(spark, d, "part").select("p_partkey", families(C.hue_targets(text)).alias("named"), families(C.accent_targets(text)).alias("accents"))
+    return dealt(table(spark, d, "part").select("p_partkey"), "p_partkey").select("p_partkey", families(C.hue_targets(text)).alias("named"), families(C.accent_targets(text)).alias("accents"))
 
 
 @query(f"SELECT r, g, b, [r, g, b] AS back, round(r * 100.0 / 255, 6) AS lab_l, (g - 128)::DOUBLE AS lab_a, (b - 128)::DOUBLE AS lab_b FROM ({_DIST})")

@@ -35,3 +35,18 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_rows_of_a_small_file_are_dealt_by_their_number(spark):
+    from siftwork.session import dealt
+
+    df = spark.range(60_001).coalesce(1)
+    parts = dealt(df, "id").rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    assert len(parts) == 13 and sum(parts) == 60_001 and max(parts) < 6_000
+
+
+def test_hue_words_are_not_one_task(spark, tmp_path):
+    from siftwork import queries
+
+    spark.range(20_000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert queries.queries()["hue_words"](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
