@@ -189,7 +189,7 @@ FROM hashed LEFT JOIN told USING (doc_id)
 def near_duplicates(spark, d):
     """The full item de-duplication at its production limits, on letter histograms: 64 comparisons of letter counts as one hash, 64 others as the second.
 
-    Texts of one language have much the same letters, so a large share of all pairs is near and the pairs grow with the square of the table.
+    Texts of one language have much the same letters, so a large share of all pairs is near; they are held against keepers in blocks.
     """
     pairs = [(i, j) for i in range(26) for j in range(i + 1, 26)]
     bits = lambda chosen: H.pack_bits(F.array(*[F.get("histogram", i) > F.get("histogram", j) for i, j in chosen]))
