@@ -148,6 +148,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     out = None
     for index in _indexes(items, item_id, item_text, words, percent):
 
+        @K.tidy
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for low, high in K.pieces(whole.column(1)):
@@ -177,6 +178,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     out = docs
     for index in _indexes(items, item_id, item_text, words, percent):
 
+        @K.tidy
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for low, high in K.pieces(whole.column(at)):

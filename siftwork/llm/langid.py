@@ -134,6 +134,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", smoothing:
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
     bits = bits_for(rows.select(F.count_distinct("lang")).first()[0])
 
+    @K.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
@@ -192,7 +193,9 @@ def predict(df: DataFrame, model: Model, text: str = "text", fit_col: str | None
     def guess(texts):
         import pandas as pd
 
-        return pd.DataFrame(dict(zip(("lang_pred", "score", "fit"), shared.value.predict(texts.where(texts.notna(), None).tolist()), strict=True)))
+        found = shared.value.predict(texts.where(texts.notna(), None).tolist())
+        K.give_back()
+        return pd.DataFrame(dict(zip(("lang_pred", "score", "fit"), found, strict=True)))
 
     added = ["lang_pred", "score", *([fit_col] if fit_col else [])]
     kept = [c for c in df.columns if c.lower() not in [a.lower() for a in added]]
@@ -211,6 +214,7 @@ def recognised(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         import pandas as pd
 
         names, _, fits = shared.value.predict(texts.where(texts.notna(), None).tolist())
+        K.give_back()
         return pd.Series([n != "und" for n in names]) & pd.Series(fits > 0)
 
     return df.filter(known(F.col(f"`{text}`")))

@@ -73,6 +73,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     schema = "doc_id bigint, n_shingles bigint, set_key binary, registers binary"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low, high in K.pieces(whole.column(1)):
@@ -96,6 +97,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 def _bands(classes: DataFrame) -> DataFrame:
     """(cls, band): one long per class and band, its number mixed in."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
@@ -113,6 +115,7 @@ def _bands(classes: DataFrame) -> DataFrame:
 def _estimates(pairs: DataFrame) -> DataFrame:
     """(u, v, near): whether the corrected estimate of pairs (u, v, a, b: registers) reaches FAMILY."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
@@ -201,6 +204,7 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int) -> Iter
 def _resolve(members: DataFrame, k: int, percent: int) -> DataFrame:
     """Spanning links (u, v) of the rows (task, cls, text), which come sorted by task."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, ids, sets = None, [], []
 

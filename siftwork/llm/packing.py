@@ -99,6 +99,7 @@ def pack_documents(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     kinds = [*[pa.int64()] * 7, *[pa.binary()] * with_ids]
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, end_id)
         sequence = TaskContext.get().partitionId() << 36
@@ -132,7 +133,6 @@ def pack_documents(
                         ids, streams, held = [], [], 0
         if streams:
             yield from packed()
-        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'bigint'}" for n in names)
     return rows.mapInArrow(run, schema)

@@ -52,6 +52,7 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * up[:n], out=sums[1:])
     value = K.mix((sums[inside + size] - sums[inside]) * down[inside])
+    del sums
     anchor, key = np.zeros(n, np.int64), np.zeros(n, np.uint64)
     for low in range(0, n, BLOCK):
         # a symbol depends on words of its window only, so a block needs one window of context
@@ -162,6 +163,7 @@ def _groups(docs: np.ndarray, parts: np.ndarray | None, first: np.ndarray, hashe
     least = np.empty(len(doc), np.int64)
     least[order] = d[np.flatnonzero(head)][np.cumsum(head) - 1]
     gone = doc > least
+    del order, v, d, head, least
     if seen is not None:
         rest = np.flatnonzero(~gone)
         gone[rest[seen.later(value[rest], key[rest], doc[rest])]] = True
@@ -255,6 +257,7 @@ def repeated_windows(keyed: DataFrame, window: int, buckets: int, homes: int, pa
     document's home is its id, with the bits of its part flipped, modulo ``homes``.
     """
 
+    @K.tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for whole in batches:
@@ -264,8 +267,14 @@ def repeated_windows(keyed: DataFrame, window: int, buckets: int, homes: int, pa
                 _, hashes, first = K.words(data, offsets, K.SPACE)
                 parts = some.column(1).to_numpy() if parted else None
                 found = list(_groups(some.column(0).to_numpy(), parts, first, hashes, window, buckets, homes, seen))
-                yield _rows(found, ["bucket", "payload"])
-
+                del data, offsets, hashes, first, some  # not held while the next chunk is grouped
+                out = _rows(found, ["bucket", "payload"])
+                del found
+                yield out
+                del out
+                K.give_back()
+
+    @K.tidy
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         current = None
@@ -336,6 +345,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         places.select("home", F.lit(0).alias("kind"), "places", *none)
     )
 
+    @K.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
         docs = parts = at = None

@@ -1,7 +1,12 @@
 """Kernels and operator parts: random cases, empty tables, null and repeated ids."""
 
+import ctypes
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -475,3 +480,56 @@ def test_many_listed_urls_without_broadcast(spark, monkeypatch):
             assert r.verdict == ("block" if i < 20_000 and i % 40 <= 20 else "allow")
         else:
             assert r.verdict == "allow"
+
+
+RETAINED = """
+import ctypes, re
+from unittest import mock
+import numpy as np, pyarrow as pa
+from siftwork.llm import substrings
+
+class Frame:  # keeps the functions that it is given
+    runs = []
+    def mapInArrow(self, run, schema):
+        self.runs.append(run)
+        return self
+    def __lt__(self, other):
+        return self
+    def __getattr__(self, name):
+        return lambda *a, **k: self
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+with mock.patch.object(substrings, "F", Frame()):
+    substrings.repeated_windows(Frame(), 13, 50, 53, False)
+rng = np.random.default_rng(1)
+texts = [" ".join(map(str, rng.integers(1000, 99999, 350))) for _ in range(6000)]
+for turn in range(2):
+    for out in Frame.runs[0](iter([pa.record_batch([pa.array(range(6000)), pa.nulls(6000, pa.int64()), pa.array(texts)], ["id", "part", "text"])])):
+        pass
+del out
+before = held()
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+print(before - held())
+"""
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim") or not Path("/proc/self/smaps_rollup").exists(), reason="needs glibc and Linux")
+def test_substring_tasks_hand_freed_memory_back():
+    """A worker keeps little of a task's working memory when the task has ended."""
+    root = str(Path(substrings.__file__).resolve().parents[2])
+    run = subprocess.run([sys.executable, "-c", RETAINED], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=120, check=True)
+    assert float(run.stdout) < 25
+
+
+def test_tidy_hands_back_when_a_task_ends_or_is_left(monkeypatch):
+    calls = []
+    monkeypatch.setattr(kernels, "give_back", lambda: calls.append(1))
+    run = kernels.tidy(lambda batches: (b for b in batches))
+    assert list(run(iter([1, 2]))) == [1, 2] and calls == [1]
+    left = run(iter([1, 2]))
+    next(left)
+    left.close()
+    assert calls == [1, 1]
